@@ -16,6 +16,5 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op6_shard_bytes": sharding.OP6_SQL,
     "op7_quality_rules": quality.OP7_SQL,
 }

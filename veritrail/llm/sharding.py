@@ -41,36 +41,3 @@ def balanced_shards(docs: DataFrame, scratch: Scratch, n_shards: int = N_SHARDS)
 
 def op6_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(table(spark, sf_dir, "documents"), Scratch(spark))
-
-
-#: DuckDB has no CRC-32, so the oracle builds its table and folds the bytes of each text over it.
-CRC_SQL = """
-crc_t AS (
-  SELECT list(c ORDER BY i) AS t FROM (
-    SELECT i, list_reduce(list_prepend(i::UBIGINT, range(8)::UBIGINT[]), lambda x, k:
-      CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END) AS c
-    FROM range(256) r(i))
-)
-"""
-
-OP6_SQL = f"""
-WITH {CRC_SQL},
-sized AS (
-  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents
-),
-summed AS (
-  SELECT doc_id, size,
-    xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(0, size - 1), lambda i:
-      (16 * (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) + instr('0123456789ABCDEF', h[2 * i + 2]) - 1)::UBIGINT)),
-      lambda x, b: xor(x >> 8, t[((xor(x, b) & 255) + 1)::BIGINT])), 4294967295::UBIGINT)::BIGINT AS text_crc32
-  FROM sized, crc_t
-),
-run AS (
-  SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32, size ROWS UNBOUNDED PRECEDING) - size AS before,
-    sum(size) OVER () AS total FROM summed
-),
-cut AS (SELECT *, least({N_SHARDS - 1}, ((2 * before + size) * {N_SHARDS}) // (2 * total))::INT AS shard FROM run)
-SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard,
-  (row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1)::BIGINT AS slot, NULL::INT AS grown_shard
-FROM cut
-"""
