@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritrail.llm import mixing, quality, sharding
-from veritrail.llm.common import Scratch
+from veritrail.llm import decontamination, mixing, neardup, quality, sharding
+from veritrail.llm.common import Scratch, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,6 +13,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.quality_filter(docs, Scratch(spark))
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: the one with the smallest doc_id."""
+    return neardup.one_of_each(docs, Scratch(spark))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"), Scratch(spark))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; those of rare sources are read more often."""
     return mixing.mixed(docs, Scratch(spark))
@@ -25,6 +35,8 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality_rules),
+    ("minhash near-dedup", near_dedup),
+    ("benchmark decontamination", decontaminate),
     ("mixing sources", mix_sources),
     ("sharding", shard),
 ]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -49,6 +50,11 @@ class Scratch:
         for df in frames:
             self._remove(df._scratch_path)
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of finished steps now: it does so when the driver's garbage is collected."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def _remove(self, path: str) -> None:
         try:
             sc = self.spark.sparkContext
@@ -110,6 +116,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def spark_hash(x: np.ndarray) -> np.ndarray:
+    """What F.xxhash64 gives for a column of longs."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turned(v: np.ndarray, by: int) -> np.ndarray:
+        return (v << np.uint64(by)) | (v >> np.uint64(64 - by))
+
+    h = (np.uint64(42) + p5 + np.uint64(8)) ^ (turned(x.view(np.uint64) * p2, 31) * p1)
+    h = turned(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     """A hash of every k consecutive words, in order; a shorter sequence gives one hash of all of it."""
     n = len(hashes)
