@@ -8,7 +8,7 @@ that the run's windows cover (``context``). Suffix arrays are the runs sorted by
 Every batch of documents gets suffix arrays, one per key range. In each range the batches' arrays are scanned against
 the levels of the family (sorted arrays of geometrically growing size) and then join it; levels of about equal size are
 merged. A run whose whole context is in a smaller document is old. Runs with one key but several contexts are settled
-window by window. Texts never meet: arrays travel as packed numbers, once.
+window by window, on the bytes that they cover. Whole texts never meet.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ _W = MATCH - GRAM + 1
 PIECE = 1 << 21
 #: Bytes of text of one batch of documents.
 BATCH = 1 << 24
+#: Contexts of a key that a batch hands on; more are settled window by window.
+CONTEXTS = 64
 #: Key ranges for each shuffle partition.
 RANGES = 4
 _POS = np.uint64((1 << 24) - 1)
@@ -72,16 +74,22 @@ def _words64(b: np.ndarray, n: int, at: int) -> np.ndarray:
     return np.ndarray((n,), "<u8", b.data, at, (1,))
 
 
+def _grams(b: np.ndarray) -> np.ndarray:
+    """A hash of the GRAM bytes from each position."""
+    n = len(b) - GRAM + 1
+    h = _words64(b, n, 0) * _C[4] ^ _words64(b, n, 8) * _C[5]
+    h ^= h >> np.uint64(32)
+    h += _words64(b, n, GRAM - 8)
+    return mix(h)
+
+
 def runs(b: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first window, number of windows, key, context) of the runs in texts that end at ``ends`` of the buffer ``b``."""
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     if len(b) < MATCH:
         return none
     n = len(b) - GRAM + 1
-    h = _words64(b, n, 0) * _C[4] ^ _words64(b, n, 8) * _C[5]
-    h ^= h >> np.uint64(32)
-    h += _words64(b, n, GRAM - 8)
-    h = mix(h)
+    h = _grams(b)
     v = h & ~_POS
     v |= np.arange(n, dtype=np.uint64)
     least = v
@@ -159,18 +167,28 @@ def _read_spans(raw: bytes) -> tuple[np.ndarray, ...]:
 
 
 class Level:
-    """A suffix array of the family: rows sorted by key. Rows of one key have one context and document, or the key is open:
-    several contexts are known, and none is kept."""
+    """A suffix array of the family: rows sorted by key, then context; the rows of one context are of one document.
+    ``open``: the row's key has several contexts, and the row is among the found spans."""
 
     def __init__(self, key, ctx, doc, lo, n, open_) -> None:
         self.key, self.ctx, self.doc, self.lo, self.n, self.open = key, ctx, doc, lo, n, open_
+        self.place = (key << np.uint64(24)) | (ctx & _POS)
 
     def take(self, at) -> Level:
         return Level(*(x[at] for x in (self.key, self.ctx, self.doc, self.lo, self.n, self.open)))
 
+    def find(self, place: np.ndarray) -> np.ndarray:
+        """The first row at or after each place (the last row if there is none)."""
+        return np.minimum(np.searchsorted(self.place, place), len(self.place) - 1)
+
 
 class Family:
-    """The levels, from large to small, and what they settle: spans (doc, lo, n, kind) with kind OLD or OPEN."""
+    """The levels, from large to small, and what they settle: spans (doc, lo, n, kind) with kind OLD or OPEN.
+
+    A new row whose context is known from a smaller document is old. A new row whose key is known by other contexts only
+    is open, and so are the key's other rows. A key keeps CONTEXTS contexts of a batch at most: further ones are open at
+    once, and settled with all open runs, window by window.
+    """
 
     def __init__(self) -> None:
         self.levels: list[Level] = []
@@ -182,54 +200,63 @@ class Family:
 
     def add(self, new: Level) -> None:
         """Scan a batch's array against every level, then make it a level."""
-        stay = np.ones(len(new.key), bool)
+        known = np.zeros(len(new.key), bool)
+        opens = new.open.copy()
         for level in self.levels:
-            if not len(level.key):
-                continue
-            left = np.searchsorted(level.key, new.key)
-            hit = np.flatnonzero(level.key[np.minimum(left, len(level.key) - 1)] == new.key)
-            if not len(hit):
+            if not len(level.key) or not len(new.key):
                 continue
-            at = left[hit]
-            opens = level.open[at] | new.open[hit] | (level.ctx[at] != new.ctx[hit])
-            real = ~new.open[hit]
-            self._settle(new.take(hit[opens & real]), OPEN)
-            later = ~opens & (new.doc[hit] > level.doc[at])
-            self._settle(new.take(hit[later]), OLD)
-            same = ~opens & (new.doc[hit] == level.doc[at])
-            first = ~opens & (new.doc[hit] < level.doc[at])
-            stay[hit[opens | later]] = False
-            dead = np.zeros(len(level.key), bool)
-            for which, kind in ((opens, OPEN), (first, OLD)):
-                keys = np.unique(level.key[at[which]])
-                rows = np.zeros(len(level.key), bool)
-                if len(keys):
+            at = level.find(new.place)
+            hit = (level.key[at] == new.key) & (level.ctx[at] == new.ctx)
+            later = hit & (new.doc > level.doc[at])
+            first = hit & (new.doc < level.doc[at])
+            self._settle(new.take(later), OLD)
+            known |= later
+            opens |= hit & level.open[at]
+            if first.any():  # the level's rows are of a greater document than the new ones
+                gone = np.isin(level.place, new.place[first]) & np.isin(level.ctx, new.ctx[first])
+                self._settle(level.take(gone), OLD)
+                self._replace(level, ~gone)
+        rest = new.take(~known)
+        rest.open = opens[~known]
+        if len(rest.key):  # several contexts of one key, within the batch or beside a level's
+            head = np.concatenate([[True], rest.key[1:] != rest.key[:-1]])
+            group = np.cumsum(head) - 1
+            change = np.concatenate([[False], (rest.key[1:] == rest.key[:-1]) & (rest.ctx[1:] != rest.ctx[:-1])])
+            several = np.bincount(group, change) > 0
+            keys = rest.key[head]
+            for level in self.levels:
+                if len(level.key):
+                    several |= self._other_context(level, keys, rest.ctx[head])
+            rest.open = rest.open | several[group]
+            for level in self.levels:
+                if len(level.key):
                     spot = np.minimum(np.searchsorted(keys, level.key), len(keys) - 1)
-                    rows = keys[spot] == level.key
-                self._settle(level.take(rows & ~level.open), kind)
-                if kind == OPEN:
-                    head = rows & np.concatenate([[True], level.key[1:] != level.key[:-1]])
-                    dead |= rows & ~head
-                    level.open = level.open | rows
-                else:
-                    dead |= rows
-            if dead.any():
-                kept = level.take(~dead)
-                level.key, level.ctx, level.doc, level.lo, level.n, level.open = kept.key, kept.ctx, kept.doc, kept.lo, kept.n, kept.open
-            # rows of the same document keep their place beside those of the level: they share one fate
-            if same.any():
-                extra = new.take(hit[same])
-                stay[hit[same]] = False
-                merged = _merged([level, extra])
-                level.key, level.ctx, level.doc, level.lo, level.n, level.open = merged.key, merged.ctx, merged.doc, merged.lo, merged.n, merged.open
-        self.levels.append(new.take(stay))
+                    met = (keys[spot] == level.key) & several[spot] & ~level.open
+                    self._settle(level.take(met), OPEN)
+                    level.open = level.open | met
+            self._settle(rest.take(rest.open), OPEN)
+        self.levels.append(rest)
         while len(self.levels) > 1 and 2 * len(self.levels[-1].key) >= len(self.levels[-2].key):
             self.levels.append(_merged([self.levels.pop(), self.levels.pop()]))
 
+    @staticmethod
+    def _other_context(level: Level, keys: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+        """Whether the level has each key with another context than the given one."""
+        lo = np.searchsorted(level.place, keys << np.uint64(24))
+        hi = np.searchsorted(level.place, (keys << np.uint64(24)) | _POS, side="right")
+        at = np.minimum(lo, len(level.key) - 1)
+        last = np.maximum(hi - 1, 0)
+        return (hi > lo) & ((level.ctx[at] != ctx) | (level.ctx[last] != ctx))
+
+    @staticmethod
+    def _replace(level: Level, keep: np.ndarray) -> None:
+        kept = level.take(keep)
+        level.__dict__.update(kept.__dict__)
+
 
 def _merged(levels: list[Level]) -> Level:
     every = Level(*(np.concatenate([getattr(x, c) for x in levels]) for c in ("key", "ctx", "doc", "lo", "n", "open")))
-    return every.take(np.argsort(every.key, kind="stable"))
+    return every.take(np.argsort(every.place, kind="stable"))
 
 
 def _batch_array(r: dict[str, np.ndarray], ids: np.ndarray, n_ranges: int) -> tuple[Level, tuple]:
@@ -242,13 +269,11 @@ def _batch_array(r: dict[str, np.ndarray], ids: np.ndarray, n_ranges: int) -> tu
     head_ctx = head_key | np.concatenate([[True], ctx[1:] != ctx[:-1]]) if len(key) else head_key
     group = np.cumsum(head_ctx) - 1
     old = doc > doc[np.flatnonzero(head_ctx)][group] if len(key) else np.zeros(0, bool)
-    per_key = np.cumsum(head_key) - 1
-    opens = np.bincount(per_key, head_ctx, minlength=0)[per_key] > 1 if len(key) else old
-    settled = old | opens
-    kind = np.where(old, OLD, OPEN)
-    stay = ~old & (~opens | head_key)
-    out = Level(key[stay], ctx[stay], doc[stay], lo[stay], n[stay], opens[stay])
-    return out, (doc[settled], lo[settled], n[settled], kind[settled])
+    nth = group - group[np.flatnonzero(head_key)][np.cumsum(head_key) - 1] if len(key) else group  # of the key's contexts
+    wide = ~old & (nth >= CONTEXTS)
+    settled = old | wide
+    out = Level(*(x[~settled] for x in (key, ctx, doc, lo, n)), np.zeros(int((~settled).sum()), bool))
+    return out, (doc[settled], lo[settled], n[settled], np.where(old, OLD, OPEN)[settled])
 
 
 def _suffix_rows(docs: DataFrame, n_ranges: int) -> DataFrame:
@@ -270,7 +295,7 @@ def _suffix_rows(docs: DataFrame, n_ranges: int) -> DataFrame:
                 data.append(
                     join(
                         zlib.compress(used.astype("<i8").tobytes(), 1), pack(at.astype(np.uint64), 4), pack(some.key >> np.uint64(24), 5), pack(some.ctx, 5),
-                        pack(some.lo.astype(np.uint64), 5), pack((some.n * 2 + some.open).astype(np.uint64), 1),
+                        pack(some.lo.astype(np.uint64), 5), pack(some.n.astype(np.uint64), 1),
                     )
                 )
         return {"part": parts, "first": [int(ids.min())] * len(parts), "data": data}
@@ -304,7 +329,8 @@ def _scanned(rows: DataFrame, n_ranges: int) -> DataFrame:
                 continue
             ids, at, key, ctx, lo, n = split(raw, 6)
             n = unpack(n, 1).astype(np.int64)
-            family.add(Level(unpack(key, 5), unpack(ctx, 5), np.frombuffer(zlib.decompress(ids), "<i8")[unpack(at, 4).astype(np.int64)], unpack(lo, 5).astype(np.int64), n >> 1, (n & 1).astype(bool)))
+            level = Level(unpack(key, 5), unpack(ctx, 5), np.frombuffer(zlib.decompress(ids), "<i8")[unpack(at, 4).astype(np.int64)], unpack(lo, 5).astype(np.int64), n, np.zeros(len(n), bool))
+            family.add(level.take(np.argsort(level.place, kind="stable")))
 
     return arrow_map(rows.repartition("part").sortWithinPartitions("part", "first").select("part", "data"), run, "part int, data binary")
 
@@ -315,8 +341,14 @@ def _found(found: list[tuple], n_ranges: int):
 
 
 def _with_texts(docs: DataFrame, spans: DataFrame, n_ranges: int) -> DataFrame:
-    """Spans and texts dealt by document range, the spans of a range before its texts: part, doc_id, raw, data."""
-    texts = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_ranges)).cast("int").alias("part"), "doc_id", "raw", F.lit(None).cast("binary").alias("data"))
+    """Spans and compressed texts dealt by document range, the spans of a range before its texts: part, doc_id, raw, data."""
+    dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_ranges)).cast("int").alias("part"), "doc_id", "raw")
+
+    def squeezed(batches):
+        for batch in batches:
+            yield {"part": batch.column(0), "doc_id": batch.column(1), "raw": [zlib.compress(x, 1) for x in batch.column(2).to_pylist()], "data": pa.nulls(len(batch), pa.binary())}
+
+    texts = arrow_map(dealt, squeezed, "part int, doc_id long, raw binary, data binary")
     both = spans.select("part", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("raw"), "data").union(texts)
     return both.repartition("part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first())
 
@@ -342,60 +374,79 @@ def _by_document(batches):
                 held = []
             d, lo, n, kind = sorted_
             a, b = np.searchsorted(d, doc), np.searchsorted(d, doc, side="right")
-            out.append((doc, raw.as_buffer(), lo[a:b], n[a:b], kind[a:b]))
+            out.append((doc, zlib.decompress(raw.as_buffer()), lo[a:b], n[a:b], kind[a:b]))
         yield out
 
 
-def _windows(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """All windows of spans."""
-    if not len(lo):
-        return lo
-    start = np.repeat(lo, n)
-    return start + np.arange(len(start)) - np.repeat(np.cumsum(n) - n, n)
-
-
-def _open_windows(dealt: DataFrame, n_ranges: int) -> DataFrame:
-    """The hashes of windows of open runs, packed by hash range: part, data."""
+def _open_runs(dealt: DataFrame, n_ranges: int) -> DataFrame:
+    """The open runs with the bytes that their windows cover, packed by key range: part, data."""
 
     def run(batches):
         for docs in _by_document(batches):
-            first, second, doc, at = [], [], [], []
+            out = {c: [] for c in ("key", "doc", "lo", "n", "off")}
+            bodies: list[bytes] = []
             for doc_id, raw, lo, n, kind in docs:
-                w = np.unique(_windows(lo[kind == OPEN], n[kind == OPEN]))
-                b = np.frombuffer(raw, np.uint8)
-                w = w[w <= len(b) - MATCH]
-                if not len(w):
-                    continue
-                for piece in range(int(w[0]) // PIECE, int(w[-1]) // PIECE + 1):
-                    base = piece * PIECE
-                    x = w[(w >= base) & (w < base + PIECE)] - base
-                    if not len(x):
+                sel = (kind == OPEN) & (lo + n - 1 + MATCH <= len(raw))
+                lo, n = lo[sel], n[sel]
+                for base in range(0, max(1, len(raw)), PIECE):
+                    own = (lo >= base) & (lo < base + PIECE)
+                    if not own.any():
                         continue
-                    part = b[base : base + PIECE + MATCH - 1]
-                    first.append(_hash(_prefix(part), x, x + MATCH))
-                    ends = _words64(part, len(part) - 7, 0)
-                    second.append(mix(ends[x] * _C[6] + ends[x + MATCH - 8] * _C[7]))
-                    doc.append(np.full(len(x), doc_id))
-                    at.append(x + base)
-            if not first:
+                    l, m = lo[own], n[own]
+                    h = _grams(np.frombuffer(raw[base : base + PIECE + 2 * MATCH], np.uint8))
+                    near = h[(l - base)[:, None] + np.arange(_W)]  # the suffixes of each run's first window
+                    off = (near & ~_POS).argmin(1)
+                    out["key"].append(mix(near[np.arange(len(l)), off]))
+                    for c, x in (("doc", np.full(len(l), doc_id)), ("lo", l), ("n", m), ("off", off)):
+                        out[c].append(x)
+                    bodies += [raw[i:j] for i, j in zip(l.tolist(), (l + m - 1 + MATCH).tolist())]
+            if not bodies:
                 continue
-            h, g, doc, at = np.concatenate(first), np.concatenate(second) >> np.uint64(48), np.concatenate(doc), np.concatenate(at)
-            r = (mix(h) % np.uint64(n_ranges)).astype(np.int64)
-            order = np.argsort(r, kind="stable")
-            h, g, doc, at, r = h[order], g[order], doc[order], at[order], r[order]
+            cols = {c: np.concatenate(x) for c, x in out.items()}
+            r = ((cols["key"] & _POS) % np.uint64(n_ranges)).astype(np.int64)
+            order = np.lexsort((cols["key"], r))
+            cols, r = {c: x[order] for c, x in cols.items()}, r[order]
             cuts = np.flatnonzero(np.diff(r)) + 1
             parts, data = [], []
             for a, b in zip([0, *cuts], [*cuts, len(r)]):
-                used, i = np.unique(doc[a:b], return_inverse=True)
+                used, i = np.unique(cols["doc"][a:b], return_inverse=True)
                 parts.append(int(r[a]))
-                data.append(join(zlib.compress(used.astype("<i8").tobytes(), 1), pack(i.astype(np.uint64), 4), pack(h[a:b], 8), pack(g[a:b], 2), pack(at[a:b].astype(np.uint64), 5)))
+                body = zlib.compress(b"".join(bodies[k] for k in order[a:b].tolist()), 1)  # like contexts stand together
+                data.append(
+                    join(
+                        zlib.compress(used.astype("<i8").tobytes(), 1), pack(i.astype(np.uint64), 4), pack(cols["key"][a:b] >> np.uint64(24), 5), pack(cols["lo"][a:b].astype(np.uint64), 5),
+                        pack(cols["n"][a:b].astype(np.uint64), 1), pack(cols["off"][a:b].astype(np.uint64), 1), body,
+                    )
+                )
             yield {"part": parts, "data": data}
 
     return arrow_map(dealt, run, "part int, data binary")
 
 
+def _run_windows(raw: bytes) -> tuple[np.ndarray, ...]:
+    """(hash, second hash, doc, position) of every window of packed open runs. Equal hashes have an equal key and distance from it."""
+    ids, i, key, lo, n, off, body = split(raw, 7)
+    doc = np.frombuffer(zlib.decompress(ids), "<i8")[unpack(i, 4).astype(np.int64)]
+    key, lo, n, off = unpack(key, 5), unpack(lo, 5).astype(np.int64), unpack(n, 1).astype(np.int64), unpack(off, 1).astype(np.int64)
+    b = np.frombuffer(zlib.decompress(body), np.uint8)
+    size = n + MATCH - 1
+    start = np.cumsum(size) - size
+    run = np.repeat(np.arange(len(n)), n)
+    nth = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+    at = start[run] + nth
+    h = np.zeros(len(at), np.uint64)
+    for a in range(0, len(b), PIECE):  # hashes are of pieces, as powers are
+        own = (at >= a) & (at < a + PIECE)
+        if own.any():
+            h[own] = _hash(_prefix(b[a : a + PIECE + MATCH]), at[own] - a, at[own] - a + MATCH)
+    h = mix(h + key[run] * _C[6] + (off[run] - nth).astype(np.uint64) * _C[7])
+    words = _words64(b, len(b) - 7, 0)
+    g = mix(words[at] * _C[6] + words[at + MATCH - 8] * _C[7] + key[run]) >> np.uint64(48)
+    return h, g, doc[run], lo[run] + nth
+
+
 def _settled_windows(rows: DataFrame, n_ranges: int) -> DataFrame:
-    """The open windows that also start in a smaller document, as spans by document range."""
+    """The windows of open runs that also start in a smaller document, as spans by document range."""
 
     def settle(held):
         h, g, doc, at = (np.concatenate(x) for x in zip(*held))
@@ -420,8 +471,7 @@ def _settled_windows(rows: DataFrame, n_ranges: int) -> DataFrame:
                     yield from settle(held)
                 now, held = part, []
             if part is not None:
-                ids, i, h, g, at = split(raw, 5)
-                held.append((unpack(h, 8), unpack(g, 2), np.frombuffer(zlib.decompress(ids), "<i8")[unpack(i, 4).astype(np.int64)], unpack(at, 5).astype(np.int64)))
+                held.append(_run_windows(raw))
 
     return arrow_map(rows.repartition("part").sortWithinPartitions("part"), run, "part int, data binary")
 
@@ -445,7 +495,7 @@ def old_spans(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame,
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
     spans = scratch.keep(_scanned(_suffix_rows(texts, n_ranges), n_ranges), "spans")
     scratch.release()
-    more = scratch.keep(_settled_windows(_open_windows(_with_texts(texts, spans, n_ranges), n_ranges), n_ranges), "spans")
+    more = scratch.keep(_settled_windows(_open_runs(_with_texts(texts, spans, n_ranges), n_ranges), n_ranges), "spans")
     scratch.release()
     return texts, spans.union(more), n_ranges
 
@@ -457,7 +507,7 @@ def _cut(docs: DataFrame, scratch: Scratch, row, schema: str) -> DataFrame:
         for docs_ in _by_document(batches):
             rows = []
             for doc_id, raw, lo, n, kind in docs_:
-                b = raw.to_pybytes()
+                b = raw
                 gone = removed_ranges(lo[kind == OLD], n[kind == OLD], len(b))
                 at, kept = 0, []
                 for lo_, hi_ in gone:
