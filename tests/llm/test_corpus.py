@@ -185,7 +185,7 @@ def test_near_duplicates(docs, empty, scratch, k):
 
 
 def test_near_duplicates_in_a_large_group(spark, scratch, monkeypatch):
-    """Nodes are larger than SMALL, so they branch; single documents hang on others than the ends."""
+    """Nodes need more comparisons than WORK, so they branch; single documents hang on others than the ends."""
     rng = random.Random(3)
     ws = [f"w{i}" for i in range(120)]
     rows = []
@@ -194,7 +194,7 @@ def test_near_duplicates_in_a_large_group(spark, scratch, monkeypatch):
         for _ in range(rng.randint(0, 4)):
             c[rng.randrange(len(c))] = f"x{rng.randrange(10**6)}"
         rows.append((i, " ".join(c)))
-    monkeypatch.setattr(neardup, "SMALL", 12)
+    monkeypatch.setattr(neardup, "WORK", 300)
     sets = {i: shingle_set(t, 4) for i, t in rows}
     links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     want = groups(sorted(sets), links)

@@ -5,13 +5,14 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,8 +53,10 @@ class Scratch:
 
     def release(self) -> None:
         """Let Spark delete the shuffle files of finished steps now: it does so when the driver's garbage is collected."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(3):  # a proxy, then what it holds, then what that holds; the cleaner follows in its own thread
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
 
     def _remove(self, path: str) -> None:
         try:
@@ -195,19 +198,19 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             out = out.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         return out.filter("a > b").distinct()
 
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
+    def kept(e: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        out = scratch.keep(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("h")), "edges")
+        return out, (seen.get["n"], seen.get["h"])
 
-    now = scratch.keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "edges")
-    seen = state(now)
-    while seen[0]:
-        nxt = scratch.keep(star(star(now, True), False), "edges")
-        got = state(nxt)
+    now, was = kept(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
+    while was[0]:
+        nxt, got = kept(star(star(now, True), False))
         scratch.drop(now)
         now = nxt
-        if got == seen:
+        if got == was:
             break
-        seen = got
+        was = got
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 

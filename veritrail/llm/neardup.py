@@ -11,21 +11,25 @@ from .common import Scratch, WordHash, arrow_map, components, mix, seeds, shingl
 
 #: Words of a shingle, and the least intersection as a percentage of the union.
 SHINGLE, PERCENT = 4, 80
-#: Min-hash coordinates; a byte of each is kept for estimates and deeper branches.
-COORDS = 128
-#: Independent trees. A pair of the least similarity 0.8 shares no first branch with chance 0.2 ** TREES.
-TREES = 16
-#: Nodes of so many documents or fewer are compared exhaustively.
-SMALL = 64
-#: Coordinates that one deeper branch takes together, and the chance of a second branch: on average
-#: (1 / 0.8) ** STEP branches, so a pair at the least similarity keeps one shared node a level.
+#: Bins of the sketch that estimates similarity: a byte of the least hash in each, 0 for an empty bin.
+BINS = 512
+#: Independent trees. A pair of the least similarity 0.8 shares no first node with chance 0.2 ** TREES, and so many or fewer
+#: first nodes with chance 0.00002: such pairs are not estimated.
+TREES, FEW = 16, 4
+#: Further min-hashes, a byte each, on which deeper nodes branch.
+MORE = 32
+#: A node is compared exhaustively if it has so many documents at most and makes so many comparisons at most: those of
+#: documents outside of its largest component with all others.
+SMALL, WORK = 20_000, 4_000_000
+#: Min-hashes that one deeper branch takes together, and the chance of a second branch: on average (1 / 0.8) ** STEP
+#: branches, so a pair at the least similarity keeps one shared node a level.
 STEP, SECOND = 2, 0.5625
-#: Pairs are compared in full if so many of the COORDS bytes agree: three deviations below the least similarity.
-AGREE = int(COORDS * (0.8 - 3 * (0.8 * 0.2 / COORDS) ** 0.5))
-#: After so many levels the members of a node agree in nearly all coordinates, and each is compared with the node's ends.
-LEVELS = 40
+#: Pairs are compared in full if their estimate is less than so many deviations below the least similarity.
+DEVIATIONS = 3.0
+#: After so many levels the members of a node agree in nearly all min-hashes, and each is compared with the node's ends.
+LEVELS = 16
 
-_A = seeds(COORDS, 11)
+_A = seeds(TREES + MORE, 11)
 
 
 def _sorted_set(raw: bytes, hashes: WordHash, k: int) -> np.ndarray:
@@ -33,52 +37,81 @@ def _sorted_set(raw: bytes, hashes: WordHash, k: int) -> np.ndarray:
 
 
 def _min_hashes(s: np.ndarray) -> np.ndarray:
-    """The min-hash of each coordinate over the shingle hashes ``s`` (not empty)."""
-    least = np.full(COORDS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(s), 2048):
-        np.minimum(least, (s[None, at : at + 2048] * _A[:, None]).min(1), out=least)
+    """The min-hash of each tree and further coordinate over the shingle hashes ``s`` (not empty)."""
+    least = np.full(len(_A), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(s), 4096):
+        np.minimum(least, (s[None, at : at + 4096] * _A[:, None]).min(1), out=least)
     return mix(least)
 
 
+def _bins(s: np.ndarray) -> np.ndarray:
+    """One byte of the least hash in each of BINS equal ranges of hashes; ``s`` is sorted."""
+    out = np.zeros(BINS, np.uint8)
+    at = (s >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    first = np.concatenate([[True], at[1:] != at[:-1]])
+    out[at[first]] = 1 + (mix(s[first]) % np.uint64(255)).astype(np.uint8)
+    return out
+
+
+def _likely(x: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which rows of two matrices of bins, of sets with so many shingles together, are similar enough to be compared in full.
+
+    Used bins are drawn without replacement from the union (sizes / 1.8 at the least similarity), so the estimate of small
+    sets hardly deviates.
+    """
+    used = np.maximum(((x | y) != 0).sum(1), 1)
+    met = ((x == y) & (x != 0)).sum(1)
+    left = np.clip(1 - used * 1.8 / sizes, 0.02, 1)
+    return met >= used * (0.8 - DEVIATIONS * np.sqrt(0.8 * 0.2 * left / used)) - 1
+
+
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (identifies the set), sig (a byte per coordinate), roots (a node of each tree)."""
+    """doc_id, n_shingles, set_key (identifies the set), sig (bins), more (bytes of min-hashes), roots (a node of each tree)."""
 
     def run(batches):
         hashes = WordHash()
         for batch in batches:
-            n, key, sig, roots = [], [], [], []
+            n, key, sig, more, roots = [], [], [], [], []
             for raw in batch.column(1).to_pylist():
                 s = _sorted_set(raw, hashes, k)
                 n.append(len(s))
                 if not len(s):
-                    key.append(None), sig.append(None), roots.append(None)
+                    key.append(None), sig.append(None), more.append(None), roots.append(None)
                     continue
                 mixed = mix(s)
                 key.append(np.array([mixed.sum(), np.bitwise_xor.reduce(mix(mixed)), len(s)], np.uint64).tobytes())
                 h = _min_hashes(s)
-                sig.append(h.astype(np.uint8).tobytes())
-                roots.append(mix(h[:TREES] + np.arange(TREES, dtype=np.uint64)).view(np.int64))
-            yield {"doc_id": batch.column(0), "n_shingles": n, "set_key": key, "sig": sig, "roots": roots}
+                sig.append(_bins(s).tobytes())
+                more.append(h[TREES:].astype(np.uint8).tobytes())
+                roots.append(mix(h[:TREES] + np.arange(TREES, dtype=np.uint64)).astype("<u8").tobytes())
+            yield {"doc_id": batch.column(0), "n_shingles": n, "set_key": key, "sig": sig, "more": more, "roots": roots}
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
-    return arrow_map(source, run, "doc_id long, n_shingles long, set_key binary, sig binary, roots array<long>")
+    return arrow_map(source, run, "doc_id long, n_shingles long, set_key binary, sig binary, more binary, roots binary")
 
 
-def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose estimate is high enough, with the number of agreeing bytes."""
-    joined = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(
-        sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b"
-    )
+def _first_nodes(classes: DataFrame) -> DataFrame:
+    """(rep, tree, node) of the representatives' first nodes."""
 
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, COORDS) for i in (2, 3))
-            agree = (x == y).sum(1)
-            keep = agree >= AGREE
-            a, b = batch.column(0).to_numpy()[keep], batch.column(1).to_numpy()[keep]
-            yield {"a": a, "b": b, "agree": agree[keep].astype(np.int64)}
+            nodes = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i8")
+            yield {"rep": np.repeat(batch.column(0).to_numpy(), TREES), "tree": np.tile(np.arange(TREES, dtype=np.int32), len(batch)), "node": nodes}
+
+    return arrow_map(classes.select("rep", "roots"), run, "rep long, tree int, node long")
 
-    return arrow_map(joined.select("a", "b", "sig_a", "sig_b"), run, "a long, b long, agree long")
+
+def _estimated(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose estimate is high enough."""
+    joined = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"), F.col("n").alias("n_b")), "b")
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (2, 3))
+            keep = _likely(x, y, batch.column(4).to_numpy())
+            yield {"a": batch.column(0).to_numpy()[keep], "b": batch.column(1).to_numpy()[keep]}
+
+    return arrow_map(joined.select("a", "b", "sig_a", "sig_b", F.col("n_a") + F.col("n_b")), run, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
@@ -112,42 +145,60 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, k: int, perc
     return links
 
 
-def _exhaustive(members: DataFrame) -> DataFrame:
-    """Pairs of small nodes that stand in different components and agree enough. ``members``: node, rep, comp, sig."""
+def _across(rep, comp, n, sig, roots, tree) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a node's members in different components that are likely links. A pair that shares several first nodes is
+    made in that of the lowest tree only (tree is -1 in deeper nodes)."""
+    labels, size = np.unique(comp, return_counts=True)
+    outside = np.flatnonzero(comp != labels[size.argmax()])
+    a_out, b_out = [], []
+    step = max(1, (1 << 20) // len(rep))
+    for at in range(0, len(outside), step):
+        u = outside[at : at + step]
+        differ = comp[u][:, None] != comp[None]
+        differ &= ~((np.isin(np.arange(len(rep)), outside)[None]) & (np.arange(len(rep))[None] < u[:, None]))  # once per pair
+        shared = np.zeros(differ.shape, np.int8)
+        for t in range(TREES):
+            shared += roots[u, t][:, None] == roots[:, t][None]
+        i, j = np.nonzero(differ & (shared > FEW))
+        i = u[i]
+        if tree >= 0 and len(i):
+            own = (roots[i] == roots[j]).argmax(1) == tree
+            i, j = i[own], j[own]
+        for lo in range(0, len(i), 1 << 15):
+            x, y = i[lo : lo + (1 << 15)], j[lo : lo + (1 << 15)]
+            good = _likely(sig[x], sig[y], n[x] + n[y])
+            a_out.append(rep[x[good]])
+            b_out.append(rep[y[good]])
+    if not a_out:
+        return rep[:0], rep[:0]
+    a, b = np.concatenate(a_out), np.concatenate(b_out)
+    return np.maximum(a, b), np.minimum(a, b)
+
 
-    def pairs(rep, comp, sig):
-        i, j = np.nonzero(np.triu(comp[:, None] != comp[None], 1))
-        if len(i):
-            agree = (sig[i] == sig[j]).sum(1) >= AGREE
-            i, j = i[agree], j[agree]
-        return np.maximum(rep[i], rep[j]), np.minimum(rep[i], rep[j])
+def _exhaustive(members: DataFrame) -> DataFrame:
+    """Likely links within small nodes. ``members``: node, tree, rep, comp, n, sig, roots."""
 
     def run(batches):
-        seen: set = set()
         rest = None
         for batch in _with_end(batches):
             if batch is None:
                 now, rest = rest, None
             else:
-                cols = [batch.column(i).to_numpy() for i in range(3)] + [np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, COORDS)]
+                cols = [batch.column(i).to_numpy() for i in range(5)]
+                cols += [np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, BINS), np.frombuffer(b"".join(batch.column(6).to_pylist()), "<i8").reshape(-1, TREES)]
                 now = cols if rest is None else [np.concatenate(x) for x in zip(rest, cols)]
                 last = int(np.searchsorted(now[0], now[0][-1]))  # the last node may go on in the next batch
                 now, rest = [x[:last] for x in now], [x[last:] for x in now]
             if now is None or not len(now[0]):
                 continue
-            a_out, b_out = [], []
             cuts = np.flatnonzero(np.diff(now[0])) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(now[0])]):
-                a, b = pairs(now[1][lo:hi], now[2][lo:hi], now[3][lo:hi])
-                a_out.append(a)
-                b_out.append(b)
-            a, b = np.concatenate(a_out), np.concatenate(b_out)
-            new = [p not in seen and not seen.add(p) for p in zip(a.tolist(), b.tolist())]
-            if len(seen) > 1_000_000:
-                seen.clear()
-            yield {"a": a[new], "b": b[new]}
-
-    dealt = members.select("node", "rep", "comp", "sig").repartition("node").sortWithinPartitions("node")
+                _, tree, rep, comp, n, sig, roots = (x[lo:hi] for x in now)
+                a, b = _across(rep, comp, n, sig, roots, int(tree[0]))
+                if len(a):
+                    yield {"a": a, "b": b}
+
+    dealt = members.select("node", "tree", "rep", "comp", "n", "sig", "roots").repartition("node").sortWithinPartitions("node")
     return arrow_map(dealt, run, "a long, b long")
 
 
@@ -157,27 +208,27 @@ def _with_end(batches):
 
 
 def _branched(members: DataFrame) -> DataFrame:
-    """The members in the children of their nodes: which coordinates a child takes follows from its parent alone."""
+    """The members in the children of their nodes: which min-hashes a child takes follows from its parent alone."""
 
     def run(batches):
         for batch in batches:
             node = batch.column(0).to_numpy().view(np.uint64)
-            sig = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, COORDS)
+            more = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, MORE)
             row = np.arange(len(node))
-            parts = []
+            keys, rows = [], []
             for child in (1, 2):
                 at = mix(node + np.uint64(child))
-                rows = row if child == 1 else row[mix(node) >> np.uint64(40) < np.uint64(int(SECOND * 2**24))]
+                taken = row if child == 1 else row[mix(node) >> np.uint64(40) < np.uint64(int(SECOND * 2**24))]
                 key = at.copy()
                 for j in range(STEP):
-                    coordinate = (at >> np.uint64(7 * j + 3)) & np.uint64(COORDS - 1)
-                    key = mix(key ^ sig[row, coordinate.astype(np.int64)].astype(np.uint64))
-                parts.append((key[rows], rows))
-            keys, rows = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            taken = batch.take(pa.array(rows))
-            yield {"node": keys.view(np.int64), "rep": taken.column(1), "comp": taken.column(2), "sig": taken.column(3)}
+                    coordinate = (at >> np.uint64(7 * j + 3)) % np.uint64(MORE)
+                    key = mix(key ^ more[row, coordinate.astype(np.int64)].astype(np.uint64))
+                keys.append(key[taken])
+                rows.append(taken)
+            kept = batch.take(pa.array(np.concatenate(rows)))
+            yield {"node": np.concatenate(keys).view(np.int64), "tree": np.full(len(kept), -1, np.int32), "rep": kept.column(1)}
 
-    return arrow_map(members.select("node", "rep", "comp", "sig"), run, "node long, rep long, comp long, sig binary")
+    return arrow_map(members.select("node", "rep", "more"), run, "node long, tree int, rep long")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -185,64 +236,52 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, percent
 
     1. Each document's distinct k-word shingles are sketched; documents with the same set form a class, whose
        representative is the smallest doc_id.
-    2. Representatives are put in the first nodes of TREES trees. Every member is paired with the least and the
-       greatest member of its node; for each document the most similar such pair is confirmed on full sets. This
-       links most of a group of copies, however large, by as many pairs as members.
-    3. Nodes whose members are not yet in one component go on: small ones are compared exhaustively, larger ones
-       branch on coordinates that the node chooses, and their members are again paired with both ends. Pairs in
-       different components that agree in enough coordinates are confirmed on full sets.
+    2. Representatives are put in the first nodes of TREES trees. Every member is paired with the least member of its node;
+       each document's pair that shares most trees is confirmed on full sets. This links most of a group of copies,
+       however large, by as many pairs as members.
+    3. Nodes whose members are not yet in one component go on. If few comparisons are left, the members outside of the
+       node's largest component are compared with all others; else the node branches on min-hashes that it chooses itself,
+       and its members are paired with the ends of the new nodes. Likely links between components are confirmed on full sets.
     4. Connected components of the confirmed links; a document is kept if it is the smallest of its component.
 
     Recall: a pair at the least similarity shares a first node with chance 1 - 0.2 ** 16 and passes the estimate with
-    chance 0.998; more similar pairs more often. Null or empty texts have no shingles and stand alone. Rows that share a
+    chance 0.998; more similar pairs more often. Documents of fewer shingles than bins are estimated nearly exactly. Null or empty texts have no shingles and stand alone. Rows that share a
     doc_id are one node of the graph. Rows without doc_id are kept, with a null component. An empty table gives no
     rows. Extra columns are ignored.
     """
     known = docs.filter("doc_id is not null")
     sketched = scratch.keep(sketches(docs, k), "sketches")
     full = sketched.filter("set_key is not null and doc_id is not null")
-    classes = scratch.keep(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("roots").alias("roots")), "classes")
-    sigs = classes.select("rep", "sig")
-    roots = scratch.keep(classes.select("rep", F.explode("roots").alias("node")), "roots")
-
-    def ends(members: DataFrame) -> DataFrame:
-        return members.groupBy("node").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
+    classes = scratch.keep(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in ("sig", "more", "roots")]), "classes")
+    nodes0 = scratch.keep(_first_nodes(classes), "nodes")
 
-    def leads(members: DataFrame, of: DataFrame) -> DataFrame:
-        both = members.join(of, "node").select(F.explode(F.array(F.struct(F.col("rep").alias("a"), F.col("lo").alias("b")), F.struct(F.col("hi").alias("a"), F.col("rep").alias("b")))).alias("p"))
-        return both.select("p.*").filter("a > b").distinct()
-
-    shared = ends(roots).filter("lo < hi")
-    first = scratch.keep(_agreeing(leads(roots, shared), sigs), "pairs")
-    nearest = first.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b"))
-    links = _confirmed(nearest.select("a", "b"), known, scratch, k, percent)
+    least = nodes0.groupBy("node").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("node", "b")
+    led = nodes0.join(least, "node").filter("rep > b").groupBy(F.col("rep").alias("a"), "b").agg(F.count(F.lit(1)).alias("trees")).filter(F.col("trees") > FEW)
+    nearest = scratch.keep(led.groupBy("a").agg(F.max_by("b", F.struct("trees", -F.col("b"))).alias("b")), "pairs")
+    links = _confirmed(nearest, known, scratch, k, percent)
     comps = scratch.keep(components(links, scratch), "components")
 
-    def placed(members: DataFrame) -> DataFrame:
-        return members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-
     def across(pairs: DataFrame) -> DataFrame:
-        side = comps.select(F.col("node"), "component")
-        out = pairs.join(side.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(side.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        return out.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+        one, two = comps.select(F.col("node").alias("a"), F.col("component").alias("ca")), comps.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+        return pairs.join(one, "a", "left").join(two, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
-    candidates = [across(first.join(nearest, ["a", "b"], "left_anti"))]
-    front = placed(roots).join(sigs, "rep")
+    candidates = []
+    front = nodes0
     for level in range(LEVELS):
-        front = scratch.keep(front, "front")
-        nodes = scratch.keep(
-            front.groupBy("node").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count(F.lit(1)).alias("n")).filter("c0 < c1"),
-            "nodes",
-        )
-        open_ = front.join(nodes.select("node", "lo", "hi", "n"), "node")
-        candidates.append(scratch.keep(_exhaustive(open_.filter(F.col("n") <= SMALL)), "pairs"))
-        large = nodes.filter(F.col("n") > SMALL)
+        placed = front.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("node", "tree", "rep", F.coalesce("component", "rep").alias("comp"))
+        parts = placed.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
+        mixed = parts.groupBy("node").agg(F.sum("m").alias("n"), F.max("m").alias("most"), F.count(F.lit(1)).alias("n_comps"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("n_comps > 1")
+        nodes = scratch.keep(mixed.withColumn("small", (F.col("n") <= SMALL) & (F.col("n") * (F.col("n") - F.col("most")) <= WORK)), "nodes")
+        members = scratch.keep(placed.join(nodes, "node"), "members")
+        features = classes.select("rep", "n", "sig", "roots")
+        candidates.append(scratch.keep(_exhaustive(members.filter("small").select("node", "tree", "rep", "comp").join(features, "rep")), "pairs"))
+        large = members.filter("not small")
+        if level:  # the first nodes' least members are done
+            ends = large.select(F.explode(F.array(F.struct(F.col("rep").alias("a"), F.col("lo").alias("b")), F.struct(F.col("hi").alias("a"), F.col("rep").alias("b")))).alias("p")).select("p.*").filter("a > b").distinct()
+            candidates.append(scratch.keep(_estimated(across(ends), classes.select("rep", "n", "sig")), "pairs"))
         if not large.head(1):
             break
-        members = front.join(large.select("node"), "node")
-        if level:  # the ends of the first nodes are done
-            candidates.append(scratch.keep(_agreeing(across(leads(members.select("node", "rep"), large.select("node", "lo", "hi"))), sigs).select("a", "b"), "pairs"))
-        front = _branched(members)
+        front = scratch.keep(_branched(large.join(classes.select("rep", "more"), "rep")), "front")
     pairs = candidates[0]
     for c in candidates[1:]:
         pairs = pairs.union(c)
