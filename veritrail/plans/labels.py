@@ -115,7 +115,7 @@ def q_interval_cover(spark, d):
 def q_site_quality(spark, d):
     """Scores of vectors at five places, one of them beyond the end."""
     e = t.table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("scores"))
-    return e.select("vec_id", gates.site_quality(F.col("scores"), F.array(*[F.lit(i) for i in (1, 7, 20, 64, 65)])).alias("q")).select("vec_id", "q.n", F.round("q.mean", 6).alias("mean"), "q.low", "q.out_of_range")
+    return e.select("vec_id", gates.site_quality(F.col("scores"), F.array(*[F.lit(i) for i in (1, 7, 20, 64, 65)])).alias("q")).select("vec_id", "q.n", F.round(F.col("q.mean") * F.col("q.n"), 6).alias("total"), "q.low", "q.out_of_range")
 
 
 def q_leak_flags(spark, d):
@@ -160,6 +160,6 @@ ORACLES = {
         SELECT l_partkey, round(best, 9) AS best, target, n, round(middle, 9) AS middle, CASE WHEN best >= 7 THEN 'strong' WHEN best >= 5 THEN 'weak' ELSE 'none' END AS verdict FROM g""",
     "q_interval_cover": """WITH r AS (SELECT DISTINCT s_nationkey, s_suppkey % 50 + 1 AS lo, s_suppkey % 50 + 6 AS hi FROM supplier), p AS (SELECT DISTINCT s_nationkey, x FROM r, range(1, 61) t(x) WHERE x BETWEEN lo AND hi)
         SELECT s_nationkey, count(*)::INT AS n_covered FROM p GROUP BY s_nationkey""",
-    "q_site_quality": """WITH e AS (SELECT vec_id, list_transform([1, 7, 20, 64], lambda i: round(embedding[i]::DOUBLE, 6)) AS h FROM embeddings) SELECT vec_id, 4 AS n, round(list_sum(h) / 4, 6) AS mean, list_min(h) AS low, 1 AS out_of_range FROM e""",
+    "q_site_quality": """WITH e AS (SELECT vec_id, list_transform([1, 7, 20, 64], lambda i: round(embedding[i]::DOUBLE, 6)) AS h FROM embeddings) SELECT vec_id, 4 AS n, round(list_sum(h), 6) AS total, list_min(h) AS low, 1 AS out_of_range FROM e""",
     "q_leak_flags": f"""WITH {t.SCORED_SQL} SELECT y, coalesce(CASE WHEN score_a > 0.7 THEN 1 WHEN score_a < 0.3 THEN 0 END = y AND abs(score_a - 0.5) > 0.4, false) AS leak, count(*) AS n FROM scored GROUP BY ALL""",
 }

@@ -56,7 +56,7 @@ def q_mention_guard(spark, d):
 
 
 _STATEMENTS = """
-SELECT doc_id, concat(left(regexp_replace(text, '\\n', ' '), 60), CASE doc_id % 12
+SELECT doc_id, concat(left(regexp_replace(text, '[^ -~]', 'x', 'g'), 60), CASE doc_id % 12
   WHEN 0 THEN ' treatment reduced mortality, hazard ratio 0.71' WHEN 1 THEN ' outcomes were measured using a scale'
   WHEN 2 THEN ' it may slightly reduce symptoms' WHEN 3 THEN ' probably improves survival' WHEN 4 THEN ' little or no difference was seen'
   WHEN 5 THEN ' terminated due to lack of efficacy' WHEN 6 THEN ' slow accrual and funding' WHEN 7 THEN ' stopped for hepatotoxicity'
@@ -73,7 +73,7 @@ def _statements(spark, d):
         " the comparator arm failed to show benefit", " overall survival was defined from entry", " nothing of note",
     ]
     tail = F.element_at(F.array(*[F.lit(x) for x in tails]), (c + 1).cast("int"))
-    return _docs(spark, d).select("doc_id", F.concat(F.left(F.regexp_replace("text", "\n", " "), F.lit(60)), tail).alias("statement"))
+    return _docs(spark, d).select("doc_id", F.concat(F.left(F.regexp_replace("text", "[^ -~]", "x"), F.lit(60)), tail).alias("statement"))
 
 
 def q_result_statement(spark, d):
@@ -167,7 +167,7 @@ def q_html_sections(spark, d):
 def q_limit_cues(spark, d):
     """Paragraphs with a cue word, joined and cut at 4000 characters, and whether they were cut."""
     paras = F.split("text", "\n")
-    cue = F.filter(paras, lambda x: tx.matches(x, r"\b(the|das|le|el)\b"))
+    cue = F.filter(paras, lambda x: tx.matches(x, "(^| )(the|das|le|el) "))
     joined = F.array_join(cue, "\n")
     return _docs(spark, d).select("doc_id", F.size(cue).alias("n_paragraphs"), F.md5(F.left(joined, F.lit(4000))).alias("digest"), (F.length(joined) > 4000).alias("truncated"))
 
@@ -212,7 +212,7 @@ v AS (
 ),
 w AS (SELECT *, CASE how WHEN 'exact' THEN q WHEN 'partial' THEN left(q, list_max(list_transform(range(half, length(q) + 1), lambda i: CASE WHEN contains(d, left(q, i::INT)) THEN i ELSE 0 END))::INT) ELSE '' END AS confirmed FROM v)
 """
-_S = f"s AS ({_STATEMENTS.replace('left(regexp_replace(text, ', 'left(regexp_replace(text, ').replace(chr(39) + ' ' + chr(39) + ')', chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')})"
+_S = f"s AS ({_STATEMENTS})"
 _REASON = f"""
 r AS (SELECT doc_id, trim(statement) AS x FROM s),
 r2 AS (SELECT *, {_m('x', tx.NEGATED)} AS neg, CASE WHEN {_m('x', tx.NEGATED)} THEN regexp_replace(x, {_q(tx.NEGATED)}, ' ', 'g') ELSE x END AS rest FROM r),
@@ -267,7 +267,7 @@ ORACLES = {
         p AS (SELECT *, list_filter(list_transform(regexp_extract_all(body, '(?is)<p[^>]*>(.*?)</p>', 1), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))), lambda x: x <> '') AS paras FROM b)
         SELECT page_id, trim(regexp_replace(regexp_extract(body, '(?is)<h1[^>]*>(.*?)</h1>', 1), '\\s+', ' ', 'g')) AS title, len(paras)::INT AS n_paragraphs, array_to_string(paras, chr(10)) AS text,
           len(regexp_extract_all(body, '(?is)<li[^>]*>'))::INT AS n_items FROM p""",
-    "q_limit_cues": """WITH c AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(?i)\\b(the|das|le|el)\\b')) AS cue FROM documents), j AS (SELECT *, array_to_string(cue, chr(10)) AS joined FROM c)
+    "q_limit_cues": """WITH c AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(?i)(^| )(the|das|le|el) ')) AS cue FROM documents), j AS (SELECT *, array_to_string(cue, chr(10)) AS joined FROM c)
         SELECT doc_id, len(cue)::INT AS n_paragraphs, md5(left(joined, 4000)) AS digest, length(joined) > 4000 AS truncated FROM j""",
     "q_study_types": """SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'rct' WHEN '2-HIGH' THEN 'trial' WHEN '3-MEDIUM' THEN 'observational' END AS study_type, o_orderpriority = '1-URGENT' AS comparative, count(*) AS n FROM orders GROUP BY ALL""",
 }
