@@ -75,6 +75,7 @@ def greedy_match(left: DataFrame, right: DataFrame, reach: int = 2) -> DataFrame
     out = None
     for shift in [0] + [s for r in range(1, reach + 1) for s in (-r, r)]:
         met = ranked(a, 0).join(ranked(b, shift).select("key", "k", F.col("id").alias("other"), F.col("n").alias("other_n")), ["key", "k"]).select("id", "n", "other", "other_n", F.lit(shift).alias("shift"))
+        met = met.persist()  # what is left after a turn depends on it twice; a lost part is made anew
         out = met if out is None else out.unionByName(met)
         a, b = a.join(met, "id", "left_anti"), b.join(met.select(F.col("other").alias("id")), "id", "left_anti")
     return out
