@@ -5,7 +5,7 @@ DataFrame and SQL functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
@@ -14,7 +14,7 @@ from .common import Scratch, table
 WINDOW, LEAST = 8, 3
 #: A template window needs so many words that are no placeholders.
 LITERALS = 5
-#: An item is leaked by so many of its windows of a kind at one alignment, or by half of them if that is fewer.
+#: An item is leaked by so many of its windows at one alignment, or by half of them if that is fewer.
 ENOUGH = 6
 #: The windows of the benchmark are broadcast up to so many rows (of about 50 bytes), else joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -28,99 +28,115 @@ UNITS = [
 ]
 
 _WORDS = r"[\p{L}\p{M}]+|\d+(?:[.,]\d+)*"
-_UNIT_LIST = ", ".join(f"'{u}'" for u in UNITS)
-#: The typed canonical form of word t at i of the array words: a number, a unit after a number, a capitalised name.
-_CANONICAL = (
-    "transform(words, (t, i) -> case when ascii(t) between 48 and 57 then '<number>' "
-    f"when i > 0 and ascii(words[i - 1]) between 48 and 57 and lower(t) in ({_UNIT_LIST}) then '<unit>' "
-    "when length(t) > 1 and upper(left(t, 1)) = left(t, 1) and lower(left(t, 1)) != left(t, 1) then '<name>' "
-    "else lower(t) end)"
-)
+#: Placeholders are words themselves, so a text and its canonical form have as many words.
+NUMBER, UNIT, NAME = "0", "qzunitzq", "qznamezq"
+_PLACEHOLDERS = f"'{NUMBER}', '{UNIT}', '{NAME}'"
 
 
-def _words(df: DataFrame) -> DataFrame:
-    """Adds words, the whole text's words with their case."""
-    return df.withColumn("words", F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(_WORDS), F.lit(0)))
+def _numbered(text: Column) -> Column:
+    """Numbers, and units right after them, as placeholders."""
+    out = F.regexp_replace(text, r"\d+(?:[.,]\d+)*", NUMBER)
+    return F.regexp_replace(out, rf"(?i)(?<={NUMBER}[ -]?)(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{M}}])", UNIT)
 
 
-def _window_hashes(hashes: str, k: int) -> str:
-    return f"if(size({hashes}) < {k}, cast(array() as array<bigint>), transform(sequence(0, size({hashes}) - {k}), i -> xxhash64(slice({hashes}, i + 1, {k}))))"
+def canonical(text: Column) -> Column:
+    """The template of a text: typed placeholders for numbers, units and names (a capital and a small letter first), the rest in lower case."""
+    return F.lower(F.regexp_replace(_numbered(text), r"(?<![\p{L}\p{M}])\p{Lu}\p{Ll}[\p{L}\p{M}]*", NAME))
 
 
-def _windows(df: DataFrame, key: str, sizes: list[int]) -> DataFrame:
-    """(key, kind, size, pos, h) of every window of ``sizes`` words, plain (lower-cased words) and template (canonical)."""
-    hashed = (
-        _words(df)
-        .select(key, F.expr("transform(words, t -> xxhash64(lower(t)))").alias("plain"), F.expr(f"transform({_CANONICAL}, t -> xxhash64(t))").alias("template"))
-    )
-    every = [f"named_struct('kind', '{kind}', 'size', {k}, 'hs', {_window_hashes(kind, k)})" for kind in ("plain", "template") for k in sizes]
-    return hashed.select(key, F.explode(F.expr(f"array({', '.join(every)})")).alias("w")).select(
-        key, F.col("w.kind").alias("kind"), F.col("w.size").alias("size"), F.posexplode("w.hs").alias("pos", "h")
-    )
+def plain(text: Column) -> Column:
+    """The same without placeholders for names: what the template of a text in one case is."""
+    return F.lower(_numbered(text))
+
+
+def words(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_WORDS), F.lit(0))
+
+
+def _hashes(text: Column) -> Column:
+    return F.transform(words(text), lambda t: F.xxhash64(t))
+
+
+def _document_windows(docs: DataFrame, sizes: list[int]) -> DataFrame:
+    """(doc_id, size, pos, h) of every template window of ``sizes`` words of the whole texts."""
+    hashed = docs.select("doc_id", _hashes(canonical(F.col("text"))).alias("hs"))
+    every = [f"named_struct('size', {k}, 'ws', if(size(hs) < {k}, cast(array() as array<bigint>), transform(sequence(0, size(hs) - {k}), i -> xxhash64(slice(hs, i + 1, {k})))))" for k in sizes]
+    if len(every) == 1:
+        return hashed.select("doc_id", F.lit(sizes[0]).alias("size"), F.posexplode(F.expr(f"({every[0]}).ws")).alias("pos", "h"))
+    return hashed.select("doc_id", F.explode(F.expr(f"array({', '.join(every)})")).alias("w")).select("doc_id", F.col("w.size").alias("size"), F.posexplode("w.ws").alias("pos", "h"))
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, kind, size, item_pos, h, n_windows: the windows of each item, without template windows of too few words."""
-    words = _words(benchmark.select("item_id", "text")).withColumn("n", F.size("words")).filter(F.col("n") >= LEAST)
-    size = F.least(F.lit(WINDOW), F.col("n"))
-    canonical = words.select("item_id", size.alias("size"), F.col("words").alias("words"), F.expr(_CANONICAL).alias("canonical"))
-    rows = canonical.select(
-        "item_id", "size", F.posexplode(F.expr("transform(sequence(0, size(words) - size), i -> struct("
-        "xxhash64(transform(slice(words, i + 1, size), t -> xxhash64(lower(t)))) as plain, "
-        "xxhash64(transform(slice(canonical, i + 1, size), t -> xxhash64(t))) as template, "
-        f"size(filter(slice(canonical, i + 1, size), t -> not startswith(t, '<'))) >= least(size, {LITERALS}) as literal))")).alias("item_pos", "w")
-    )
-    return rows.select("item_id", "size", "item_pos", F.explode(F.expr("array(struct('plain' as kind, w.plain as h, true as literal), struct('template' as kind, w.template as h, w.literal as literal))")).alias("x")).filter("x.literal").select(
-        "item_id", F.col("x.kind").alias("kind"), "size", "item_pos", F.col("x.h").alias("h")
-    ).distinct()
+    """(item_id, size, item_pos, h, form): the windows of each item's template (form 0), and of its plain form (1) for documents in one case."""
+    shaped = benchmark.select("item_id", words(canonical(F.col("text"))).alias("a"), words(plain(F.col("text"))).alias("b"))
+    live = shaped.filter(F.size("a") >= LEAST).withColumn("size", F.least(F.lit(WINDOW), F.size("a")))
+    forms = live.select("item_id", "size", F.posexplode(F.array("a", "b")).alias("form", "ws"))
+    cut = forms.select("item_id", "size", "form", F.posexplode(F.expr("transform(sequence(0, size(ws) - size), i -> slice(ws, i + 1, size))")).alias("item_pos", "w"))
+    literal = F.expr(f"size(filter(w, t -> t not in ({_PLACEHOLDERS}))) >= least(size, {LITERALS})")
+    hashed = cut.filter(literal).select("item_id", "size", "item_pos", "form", F.expr("xxhash64(transform(w, t -> xxhash64(t)))").alias("h"))
+    return hashed.groupBy("item_id", "size", "item_pos", "h").agg(F.min("form").alias("form"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
     """One row per leaked (doc_id, item_id): kind, cover, n_matched, n_windows, first_word.
 
-    Documents and items are cut into windows of WINDOW words, once as lower-cased words and once as templates with
-    numbers, units and names replaced by typed placeholders; windows meet in a hash join. A pair is a leak if enough of
-    the item's windows of that kind match at one alignment (a difference of positions): ENOUGH, or half if it has fewer.
-    ``exact``: by plain words. ``template``: by templates only, if each value of a placeholder in the item stands for one
-    value in the document wherever it recurs. first_word is where the item starts in the document, in words.
+    Numbers, units after them and names become typed placeholders; the templates are cut into windows of WINDOW words, and
+    windows of documents and items meet in a hash join. A pair is a leak if enough of the item's windows match at one
+    alignment (a difference of positions): ENOUGH, or half of its template's if that is fewer; and if each value of a placeholder in the item
+    stands for one value in the document wherever it recurs. ``exact``: all placeholders have the item's values, else
+    ``template``. Items also have windows in which names are plain words, which documents without capitals, or all in
+    capitals, match. first_word is where the item starts in the document, in words.
 
-    Null or very short texts have no windows. Repeated rows of a document count once. Empty tables give no rows.
-    Extra columns are ignored. The windows of documents are never shuffled while the benchmark's have at most
-    BROADCAST_ROWS rows; each (document, item) pair is then aggregated.
+    Null or very short texts have no windows. Repeated rows of a document count once. Empty tables give no rows. Extra
+    columns are ignored. The windows of documents are never shuffled while the benchmark's have at most BROADCAST_ROWS
+    rows; each (document, item) pair is then aggregated.
     """
     index = scratch.keep(benchmark_windows(benchmark), "windows")
     sizes = sorted(r.size for r in index.select("size").distinct().collect())  # at most WINDOW numbers
-    totals = index.groupBy("item_id", "kind").agg(F.countDistinct("item_pos").cast("long").alias("n_windows"))
+    per_form = index.groupBy("item_id").agg(F.countDistinct(F.when(F.col("form") == 0, F.col("item_pos"))).alias("n0"), F.countDistinct("item_pos").alias("n1"))
+    totals = per_form.select("item_id", F.when(F.col("n0") > 0, F.col("n0")).otherwise(F.col("n1")).cast("long").alias("n_windows"))
     small = index.count() <= BROADCAST_ROWS
     side = F.broadcast(index) if small else index
-    hits = _windows(docs.select("doc_id", "text").filter("doc_id is not null"), "doc_id", sizes or [WINDOW]).join(side, ["kind", "size", "h"])
-    found = hits.groupBy("doc_id", "item_id", "kind", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.countDistinct("item_pos").alias("n_matched"))
-    best = found.groupBy("doc_id", "item_id", "kind").agg(F.max(F.struct("n_matched", -F.col("shift"))).alias("m"))
-    enough = best.select("doc_id", "item_id", "kind", F.col("m.n_matched").alias("n_matched"), (-F.col("m.col2")).alias("shift")).join(
-        F.broadcast(totals) if small else totals, ["item_id", "kind"]
-    ).filter("n_matched >= least(%d, ceil(n_windows / 2))" % ENOUGH)
+    hits = _document_windows(docs.select("doc_id", "text").filter("doc_id is not null"), sizes or [WINDOW]).join(side, ["size", "h"])
+    found = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.countDistinct("item_pos").alias("n_matched"))
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_matched", (-F.col("shift")).alias("back"))).alias("m"))
+    enough = best.select("doc_id", "item_id", F.col("m.n_matched").alias("n_matched"), (-F.col("m.back")).alias("shift")).join(F.broadcast(totals) if small else totals, "item_id").filter(
+        f"n_matched >= least({ENOUGH}, ceil(n_windows / 2))"
+    )
     pairs = scratch.keep(enough, "leaks")
-    exact = pairs.filter("kind = 'plain'")
-    maybe = pairs.filter("kind = 'template'").join(exact, ["doc_id", "item_id"], "left_anti")
-    good = maybe.join(_inconsistent(maybe, docs, benchmark), ["doc_id", "item_id"], "left_anti")
-    return exact.withColumn("kind", F.lit("exact")).unionByName(good).select(
-        "doc_id", "item_id", "kind", (F.col("n_matched") / F.col("n_windows")).alias("cover"), "n_matched", "n_windows", F.col("shift").cast("long").alias("first_word")
+    slots = _slots(pairs, docs, benchmark)
+    judged = slots.groupBy("doc_id", "item_id").agg(F.min((F.col("lo") == F.col("hi")).cast("int")).alias("consistent"), F.min(((F.col("lo") == F.col("item_value")) & (F.col("hi") == F.col("item_value"))).cast("int")).alias("same"))
+    return (
+        pairs.join(judged, ["doc_id", "item_id"], "left")
+        .withColumn("same", F.coalesce("same", F.lit(1)))
+        .filter("same = 1 or consistent = 1")
+        .select(
+            "doc_id", "item_id", F.when(F.col("same") == 1, "exact").otherwise("template").alias("kind"), F.least(F.lit(1.0), F.col("n_matched") / F.col("n_windows")).alias("cover"), "n_matched", "n_windows",
+            F.col("shift").cast("long").alias("first_word"),
+        )
     )
 
 
-def _inconsistent(pairs: DataFrame, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The (doc_id, item_id) in which a placeholder's value of the item stands for two values in the document."""
-    doc_words = _words(docs.select("doc_id", "text").join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")).select("doc_id", F.col("words").alias("doc_words"))
-    item = _words(benchmark.select("item_id", "text").filter("item_id is not null"))
-    item_words = item.select("item_id", F.col("words").alias("item_words"), F.expr(_CANONICAL).alias("canonical"))
-    slots = pairs.join(doc_words, "doc_id").join(item_words, "item_id").select(
-        "doc_id", "item_id",
-        F.explode(F.expr(
-            "filter(transform(item_words, (t, i) -> struct(canonical[i] as type, lower(t) as item_value, "
-            "lower(try_element_at(doc_words, cast(i + shift + 1 as int))) as doc_value)), x -> startswith(x.type, '<') and x.doc_value is not null)"
-        )).alias("s"),
+def _slots(pairs: DataFrame, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, type, item_value, lo, hi): the least and the greatest value that a placeholder's value has in the document.
+
+    Only places where both sides have the same placeholder, or the document has the item's word in another case, are compared.
+    """
+    some = docs.select("doc_id", "text").join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+    d = some.select("doc_id", words(F.lower("text")).alias("doc_words"), words(canonical(F.col("text"))).alias("doc_forms"))
+    i = benchmark.filter("item_id is not null").select("item_id", words(F.lower("text")).alias("item_words"), words(canonical(F.col("text"))).alias("item_forms"))
+    return (
+        pairs.join(d, "doc_id").join(i, "item_id")
+        .select(
+            "doc_id", "item_id",
+            F.explode(F.expr(
+                "filter(transform(item_words, (t, i) -> struct(item_forms[i] as type, t as item_value, try_element_at(doc_words, cast(i + shift + 1 as int)) as doc_value, "
+                f"try_element_at(doc_forms, cast(i + shift + 1 as int)) as doc_type)), x -> x.type in ({_PLACEHOLDERS}) and (x.doc_type = x.type or x.doc_value = x.item_value))"
+            )).alias("s"),
+        )
+        .groupBy("doc_id", "item_id", "s.type", "s.item_value")
+        .agg(F.min("s.doc_value").alias("lo"), F.max("s.doc_value").alias("hi"))
     )
-    return slots.groupBy("doc_id", "item_id", "s.type", "s.item_value").agg(F.min("s.doc_value").alias("lo"), F.max("s.doc_value").alias("hi")).filter("lo != hi").select("doc_id", "item_id").distinct()
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
