@@ -102,7 +102,7 @@ def label_counts(fields: DataFrame, term: str, key: int = 0) -> DataFrame:
     return fields.filter(F.lower(last).contains(term.lower())).groupBy(F.col("f")[key].alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
-REGISTRY = T._parse_datatype_string(
+REGISTRY = (
     "studies array<struct<protocolSection: struct<identificationModule: struct<nctId: string, briefTitle: string>, statusModule: struct<overallStatus: string, whyStopped: string, completionDateStruct: struct<date: string>>,"
     "designModule: struct<phases: array<string>, designInfo: struct<allocation: string>, enrollmentInfo: struct<count: bigint>>, conditionsModule: struct<conditions: array<string>>,"
     "armsInterventionsModule: struct<interventions: array<struct<name: string, type: string>>>>, hasResults: boolean>>"
@@ -124,7 +124,7 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     ).dropDuplicates(["nct"])
 
 
-RESULTS = T._parse_datatype_string(
+RESULTS = (
     "rows array<struct<drug: string, indication: string, label: string>>, results map<string, struct<scores: array<double>, verdicts: array<string>, leak: array<boolean>, conf: array<string>>>"
 )
 
