@@ -151,7 +151,7 @@ def _across(rep, comp, n, sig, roots, tree) -> tuple[np.ndarray, np.ndarray]:
     labels, size = np.unique(comp, return_counts=True)
     outside = np.flatnonzero(comp != labels[size.argmax()])
     a_out, b_out = [], []
-    step = max(1, (1 << 20) // len(rep))
+    step = max(1, (1 << 18) // len(rep))
     for at in range(0, len(outside), step):
         u = outside[at : at + step]
         differ = comp[u][:, None] != comp[None]
@@ -164,8 +164,8 @@ def _across(rep, comp, n, sig, roots, tree) -> tuple[np.ndarray, np.ndarray]:
         if tree >= 0 and len(i):
             own = (roots[i] == roots[j]).argmax(1) == tree
             i, j = i[own], j[own]
-        for lo in range(0, len(i), 1 << 15):
-            x, y = i[lo : lo + (1 << 15)], j[lo : lo + (1 << 15)]
+        for lo in range(0, len(i), 1 << 12):
+            x, y = i[lo : lo + (1 << 12)], j[lo : lo + (1 << 12)]
             good = _likely(sig[x], sig[y], n[x] + n[y])
             a_out.append(rep[x[good]])
             b_out.append(rep[y[good]])
