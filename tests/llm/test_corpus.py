@@ -225,6 +225,21 @@ def test_decontamination(spark, empty, scratch):
     assert decontamination.leaks(df, bench.limit(0), scratch).count() == 0
 
 
+def test_decontamination_of_items_rich_in_names_and_numbers(spark, scratch):
+    """A verbatim copy is found by its lower-cased words, however few of an item's words are literals."""
+    items = [
+        (0, "On 4 July 1776 the Continental Congress in Philadelphia adopted the Declaration of Independence"),
+        (1, "Who wrote War and Peace in 1869? Leo Tolstoy"),
+        (2, "Simplify 3 x 4 y 5 z"),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    filler = "and so it goes on with words that nobody needs to read"
+    texts = [f"{filler} {case(t)} {filler}" for _, t in items for case in (str, str.lower, str.upper)]
+    df = spark.createDataFrame(list(enumerate([*texts, filler])), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.kind, r.cover, r.first_word) for r in decontamination.leaks(df, bench, scratch).collect()}
+    assert got == {(i, i // 3): ("exact", 1.0, 12) for i in range(9)}
+
+
 def test_mixing(docs, empty, scratch):
     tokens = Counter()
     for _, t, _, s, *_ in ROWS:

@@ -31,6 +31,8 @@ _WORDS = r"[\p{L}\p{M}]+|\d+(?:[.,]\d+)*"
 #: Placeholders are words themselves, so a text and its canonical form have as many words.
 NUMBER, UNIT, NAME = "0", "qzunitzq", "qznamezq"
 _PLACEHOLDERS = f"'{NUMBER}', '{UNIT}', '{NAME}'"
+#: The form of an item's windows of lower-cased words.
+PLAIN = 2
 
 
 def _numbered(text: Column) -> Column:
@@ -57,63 +59,75 @@ def _hashes(text: Column) -> Column:
     return F.transform(words(text), lambda t: F.xxhash64(t))
 
 
-def _document_windows(docs: DataFrame, sizes: list[int]) -> DataFrame:
-    """(doc_id, size, pos, h) of every template window of ``sizes`` words of the whole texts."""
-    hashed = docs.select("doc_id", _hashes(canonical(F.col("text"))).alias("hs"))
-    every = [f"named_struct('size', {k}, 'ws', if(size(hs) < {k}, cast(array() as array<bigint>), transform(sequence(0, size(hs) - {k}), i -> xxhash64(slice(hs, i + 1, {k})))))" for k in sizes]
-    if len(every) == 1:
-        return hashed.select("doc_id", F.lit(sizes[0]).alias("size"), F.posexplode(F.expr(f"({every[0]}).ws")).alias("pos", "h"))
-    return hashed.select("doc_id", F.explode(F.expr(f"array({', '.join(every)})")).alias("w")).select("doc_id", F.col("w.size").alias("size"), F.posexplode("w.ws").alias("pos", "h"))
+def _document_windows(docs: DataFrame, sizes: list[int], form: Column) -> DataFrame:
+    """(doc_id, size, pos, h) of every window of ``sizes`` words of ``form``, the whole texts or their templates."""
+    hashed = docs.select("doc_id", _hashes(form).alias("hs"))
+    places = hashed.select("doc_id", "hs", F.explode(F.expr(f"if(size(hs) < {sizes[0]}, cast(array() as array<int>), sequence(0, size(hs) - {sizes[0]}))")).alias("pos"))
+    hashes = {k: f"xxhash64({', '.join(f'get(hs, pos + {i})' for i in range(k))})" for k in sizes}  # as of an array, but without making one
+    if len(sizes) == 1:
+        return places.select("doc_id", F.lit(sizes[0]).alias("size"), "pos", F.expr(hashes[sizes[0]]).alias("h"))
+    every = [f"named_struct('size', {k}, 'h', if(pos + {k} <= size(hs), {h}, null))" for k, h in hashes.items()]
+    return places.select("doc_id", "pos", F.explode(F.expr(f"array({', '.join(every)})")).alias("w")).select("doc_id", "w.size", "pos", "w.h").filter("h is not null")
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, size, item_pos, h, form): the windows of each item's template (form 0), and of its plain form (1) for documents in one case."""
-    shaped = benchmark.select("item_id", words(canonical(F.col("text"))).alias("a"), words(plain(F.col("text"))).alias("b"))
+    """(item_id, size, item_pos, h, form): the windows of each item's template (form 0), of its form for documents in one case (1), and of its lower-cased words (PLAIN)."""
+    text = F.col("text")
+    shaped = benchmark.select("item_id", words(canonical(text)).alias("a"), words(plain(text)).alias("b"), words(F.lower(text)).alias("c"))
     live = shaped.filter(F.size("a") >= LEAST).withColumn("size", F.least(F.lit(WINDOW), F.size("a")))
-    forms = live.select("item_id", "size", F.posexplode(F.array("a", "b")).alias("form", "ws"))
+    forms = live.select("item_id", "size", F.posexplode(F.array("a", "b", "c")).alias("form", "ws"))
     cut = forms.select("item_id", "size", "form", F.posexplode(F.expr("transform(sequence(0, size(ws) - size), i -> slice(ws, i + 1, size))")).alias("item_pos", "w"))
-    literal = F.expr(f"size(filter(w, t -> t not in ({_PLACEHOLDERS}))) >= least(size, {LITERALS})")
+    literal = F.expr(f"form = {PLAIN} or size(filter(w, t -> t not in ({_PLACEHOLDERS}))) >= least(size, {LITERALS})")
     hashed = cut.filter(literal).select("item_id", "size", "item_pos", "form", F.expr("xxhash64(transform(w, t -> xxhash64(t)))").alias("h"))
-    return hashed.groupBy("item_id", "size", "item_pos", "h").agg(F.min("form").alias("form"))
+    return hashed.groupBy("item_id", "size", "item_pos", "h", (F.col("form") == PLAIN).alias("verbatim")).agg(F.min("form").alias("form"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
     """One row per leaked (doc_id, item_id): kind, cover, n_matched, n_windows, first_word.
 
-    Numbers, units after them and names become typed placeholders; the templates are cut into windows of WINDOW words, and
-    windows of documents and items meet in a hash join. A pair is a leak if enough of the item's windows match at one
-    alignment (a difference of positions): ENOUGH, or half of its template's if that is fewer; and if each value of a placeholder in the item
-    stands for one value in the document wherever it recurs. ``exact``: all placeholders have the item's values, else
-    ``template``. Items also have windows in which names are plain words, which documents without capitals, or all in
-    capitals, match. first_word is where the item starts in the document, in words.
+    Texts are cut into windows of WINDOW words twice: as lower-cased words, and as templates, in which numbers, units after
+    them and names are typed placeholders. Windows of documents and items meet in a hash join. A pair is a leak if enough
+    of the item's windows of one family match at one alignment (a difference of positions): ENOUGH, or half of them if that
+    is fewer. Lower-cased words need no more: such a pair is ``exact``. By templates each value of a placeholder in the item
+    must stand for one value in the document wherever it recurs; the pair is ``exact`` if all have the item's values, else
+    ``template``. Items also have template windows in which names are plain words, which documents without capitals, or all
+    in capitals, match. first_word is where the item starts in the document, in words.
 
     Null or very short texts have no windows. Repeated rows of a document count once. Empty tables give no rows. Extra
     columns are ignored. The windows of documents are never shuffled while the benchmark's have at most BROADCAST_ROWS
     rows; each (document, item) pair is then aggregated.
     """
     index = scratch.keep(benchmark_windows(benchmark), "windows")
-    sizes = sorted(r.size for r in index.select("size").distinct().collect())  # at most WINDOW numbers
-    per_form = index.groupBy("item_id").agg(F.countDistinct(F.when(F.col("form") == 0, F.col("item_pos"))).alias("n0"), F.countDistinct("item_pos").alias("n1"))
-    totals = per_form.select("item_id", F.when(F.col("n0") > 0, F.col("n0")).otherwise(F.col("n1")).cast("long").alias("n_windows"))
+    sizes = sorted(r.size for r in index.select("size").distinct().collect()) or [WINDOW]  # at most WINDOW numbers
+    at = lambda form: F.countDistinct(F.when(form, F.col("item_pos")))
+    per_form = index.groupBy("item_id").agg(at(F.col("form") == 0).alias("n0"), at(~F.col("verbatim")).alias("n1"), at(F.col("verbatim")).cast("long").alias("n_plain"))
+    totals = per_form.select("item_id", "n_plain", F.when(F.col("n0") > 0, F.col("n0")).otherwise(F.col("n1")).cast("long").alias("n_windows"))
     small = index.count() <= BROADCAST_ROWS
-    side = F.broadcast(index) if small else index
-    hits = _document_windows(docs.select("doc_id", "text").filter("doc_id is not null"), sizes or [WINDOW]).join(side, ["size", "h"])
-    found = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.countDistinct("item_pos").alias("n_matched"))
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_matched", (-F.col("shift")).alias("back"))).alias("m"))
-    enough = best.select("doc_id", "item_id", F.col("m.n_matched").alias("n_matched"), (-F.col("m.back")).alias("shift")).join(F.broadcast(totals) if small else totals, "item_id").filter(
-        f"n_matched >= least({ENOUGH}, ceil(n_windows / 2))"
+    side = lambda df: F.broadcast(df) if small else df
+    source = docs.select("doc_id", "text").filter("doc_id is not null")
+
+    def hits(form: Column, verbatim: bool) -> DataFrame:
+        met = _document_windows(source, sizes, form).join(side(index.filter(F.col("verbatim") == verbatim)), ["size", "h"])
+        return met.select("doc_id", "item_id", "item_pos", "verbatim", (F.col("pos") - F.col("item_pos")).alias("shift"))
+
+    every = hits(F.lower("text"), True).unionByName(hits(canonical(F.col("text")), False)).distinct()
+    found = every.groupBy("doc_id", "item_id", "verbatim", "shift").agg(F.count(F.lit(1)).alias("n_matched"))
+    best = found.groupBy("doc_id", "item_id", "verbatim").agg(F.max(F.struct("n_matched", (-F.col("shift")).alias("back"))).alias("m"))
+    enough = (
+        best.select("doc_id", "item_id", "verbatim", F.col("m.n_matched").alias("n_matched"), (-F.col("m.back")).alias("shift"))
+        .join(side(totals), "item_id")
+        .withColumn("n_windows", F.when(F.col("verbatim"), F.col("n_plain")).otherwise(F.col("n_windows")))
+        .filter(f"n_matched >= least({ENOUGH}, ceil(n_windows / 2))")
     )
     pairs = scratch.keep(enough, "leaks")
-    slots = _slots(pairs, docs, benchmark)
+    exact = pairs.filter("verbatim").withColumn("same", F.lit(1))
+    maybe = pairs.filter("not verbatim").join(exact, ["doc_id", "item_id"], "left_anti")
+    slots = _slots(maybe, docs, benchmark)
     judged = slots.groupBy("doc_id", "item_id").agg(F.min((F.col("lo") == F.col("hi")).cast("int")).alias("consistent"), F.min(((F.col("lo") == F.col("item_value")) & (F.col("hi") == F.col("item_value"))).cast("int")).alias("same"))
-    return (
-        pairs.join(judged, ["doc_id", "item_id"], "left")
-        .withColumn("same", F.coalesce("same", F.lit(1)))
-        .filter("same = 1 or consistent = 1")
-        .select(
-            "doc_id", "item_id", F.when(F.col("same") == 1, "exact").otherwise("template").alias("kind"), F.least(F.lit(1.0), F.col("n_matched") / F.col("n_windows")).alias("cover"), "n_matched", "n_windows",
-            F.col("shift").cast("long").alias("first_word"),
-        )
+    good = maybe.join(judged, ["doc_id", "item_id"], "left").withColumn("same", F.coalesce("same", F.lit(1))).filter("same = 1 or consistent = 1").drop("consistent")
+    return exact.unionByName(good).select(
+        "doc_id", "item_id", F.when(F.col("same") == 1, "exact").otherwise("template").alias("kind"), F.least(F.lit(1.0), F.col("n_matched") / F.col("n_windows")).alias("cover"), "n_matched", "n_windows",
+        F.col("shift").cast("long").alias("first_word"),
     )
 
 
