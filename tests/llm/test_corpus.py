@@ -240,6 +240,21 @@ def test_decontamination_of_items_rich_in_names_and_numbers(spark, scratch):
     assert got == {(i, i // 3): ("exact", 1.0, 12) for i in range(9)}
 
 
+def test_decontamination_judges_every_alignment_in_its_windows(spark, scratch):
+    item = "A train leaves Boston at 40 mph and reaches Denver after 30 hours; how far is Denver from Boston?"
+    bad = "A train leaves Paris at 55 mph and reaches Lyon after 12 hours; how far is Rome from Paris?"
+    good = bad.replace("Rome", "Lyon")
+    start = "The people of the old town went to the market by the river with their baskets in hand and"
+    story = f"{start} bought bread. The baker was glad. The rain fell on them all."
+    bench = spark.createDataFrame([(0, item), (1, story)], "item_id long, text string")
+    filler = "and so it goes on with words that nobody needs to read"
+    texts = [f"{bad} {filler} {item}", f"{bad} {filler} {good}", f"{bad} {filler} {bad}", f"{start} sold bread. However it was dry. Today rain fell."]
+    texts += [f"{good} {filler} {item}", f"{start.replace('river', 'Rhine')} sold bread. However it was dry."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.kind, r.first_word) for r in decontamination.leaks(df, bench, scratch).collect()}
+    assert got == {(0, 0): ("exact", 31), (1, 0): ("template", 31), (3, 1): ("exact", 0), (4, 0): ("exact", 31)}
+
+
 def test_mixing(docs, empty, scratch):
     tokens = Counter()
     for _, t, _, s, *_ in ROWS:

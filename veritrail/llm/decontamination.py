@@ -89,8 +89,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
     them and names are typed placeholders. Windows of documents and items meet in a hash join. A pair is a leak if enough
     of the item's windows of one family match at one alignment (a difference of positions): ENOUGH, or half of them if that
     is fewer. Lower-cased words need no more: such a pair is ``exact``. By templates each value of a placeholder in the item
-    must stand for one value in the document wherever it recurs; the pair is ``exact`` if all have the item's values, else
-    ``template``. Items also have template windows in which names are plain words, which documents without capitals, or all
+    must stand for one value in the document wherever it recurs in matched windows; the pair is ``exact`` if all have the
+    item's values, else ``template``. Every alignment with enough windows is judged; of those that hold, an exact one is
+    given, else that with most windows, the earliest of equal ones. Items also have template windows in which names are plain words, which documents without capitals, or all
     in capitals, match. first_word is where the item starts in the document, in words.
 
     Null or very short texts have no windows. Repeated rows of a document count once. Empty tables give no rows. Extra
@@ -108,13 +109,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
 
     def hits(form: Column, verbatim: bool) -> DataFrame:
         met = _document_windows(source, sizes, form).join(side(index.filter(F.col("verbatim") == verbatim)), ["size", "h"])
-        return met.select("doc_id", "item_id", "item_pos", "verbatim", (F.col("pos") - F.col("item_pos")).alias("shift"))
+        return met.select("doc_id", "item_id", "size", "item_pos", "verbatim", (F.col("pos") - F.col("item_pos")).alias("shift"))
 
     every = hits(F.lower("text"), True).unionByName(hits(canonical(F.col("text")), False)).distinct()
-    found = every.groupBy("doc_id", "item_id", "verbatim", "shift").agg(F.count(F.lit(1)).alias("n_matched"))
-    best = found.groupBy("doc_id", "item_id", "verbatim").agg(F.max(F.struct("n_matched", (-F.col("shift")).alias("back"))).alias("m"))
+    found = every.groupBy("doc_id", "item_id", "size", "verbatim", "shift").agg(F.collect_list("item_pos").alias("matched"))  # of one item
     enough = (
-        best.select("doc_id", "item_id", "verbatim", F.col("m.n_matched").alias("n_matched"), (-F.col("m.back")).alias("shift"))
+        found.withColumn("n_matched", F.size("matched").cast("long"))
         .join(side(totals), "item_id")
         .withColumn("n_windows", F.when(F.col("verbatim"), F.col("n_plain")).otherwise(F.col("n_windows")))
         .filter(f"n_matched >= least({ENOUGH}, ceil(n_windows / 2))")
@@ -123,32 +123,34 @@ def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
     exact = pairs.filter("verbatim").withColumn("same", F.lit(1))
     maybe = pairs.filter("not verbatim").join(exact, ["doc_id", "item_id"], "left_anti")
     slots = _slots(maybe, docs, benchmark)
-    judged = slots.groupBy("doc_id", "item_id").agg(F.min((F.col("lo") == F.col("hi")).cast("int")).alias("consistent"), F.min(((F.col("lo") == F.col("item_value")) & (F.col("hi") == F.col("item_value"))).cast("int")).alias("same"))
-    good = maybe.join(judged, ["doc_id", "item_id"], "left").withColumn("same", F.coalesce("same", F.lit(1))).filter("same = 1 or consistent = 1").drop("consistent")
-    return exact.unionByName(good).select(
+    judged = slots.groupBy("doc_id", "item_id", "shift").agg(F.min((F.col("lo") == F.col("hi")).cast("int")).alias("consistent"), F.min(((F.col("lo") == F.col("item_value")) & (F.col("hi") == F.col("item_value"))).cast("int")).alias("same"))
+    good = maybe.join(judged, ["doc_id", "item_id", "shift"], "left").withColumn("same", F.coalesce("same", F.lit(1))).filter("same = 1 or consistent = 1").drop("consistent")
+    best = exact.unionByName(good).groupBy("doc_id", "item_id").agg(F.max(F.struct("same", "n_matched", (-F.col("shift")).alias("back"), "n_windows")).alias("m")).select("doc_id", "item_id", "m.*")
+    return best.select(
         "doc_id", "item_id", F.when(F.col("same") == 1, "exact").otherwise("template").alias("kind"), F.least(F.lit(1.0), F.col("n_matched") / F.col("n_windows")).alias("cover"), "n_matched", "n_windows",
-        F.col("shift").cast("long").alias("first_word"),
+        (-F.col("back")).cast("long").alias("first_word"),
     )
 
 
 def _slots(pairs: DataFrame, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, type, item_value, lo, hi): the least and the greatest value that a placeholder's value has in the document.
+    """(doc_id, item_id, shift, type, item_value, lo, hi): the least and the greatest value that a placeholder's value has in the document.
 
-    Only places where both sides have the same placeholder, or the document has the item's word in another case, are compared.
+    Only places within matched windows are compared, where both sides have the same placeholder or the document has the item's word in another case.
     """
     some = docs.select("doc_id", "text").join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
     d = some.select("doc_id", words(F.lower("text")).alias("doc_words"), words(canonical(F.col("text"))).alias("doc_forms"))
     i = benchmark.filter("item_id is not null").select("item_id", words(F.lower("text")).alias("item_words"), words(canonical(F.col("text"))).alias("item_forms"))
+    covered = pairs.withColumn("places", F.expr("array_distinct(flatten(transform(matched, p -> sequence(p, p + size - 1))))"))
     return (
-        pairs.join(d, "doc_id").join(i, "item_id")
+        covered.join(d, "doc_id").join(i, "item_id")
         .select(
-            "doc_id", "item_id",
+            "doc_id", "item_id", "shift",
             F.explode(F.expr(
-                "filter(transform(item_words, (t, i) -> struct(item_forms[i] as type, t as item_value, try_element_at(doc_words, cast(i + shift + 1 as int)) as doc_value, "
+                "filter(transform(places, i -> struct(item_forms[i] as type, item_words[i] as item_value, try_element_at(doc_words, cast(i + shift + 1 as int)) as doc_value, "
                 f"try_element_at(doc_forms, cast(i + shift + 1 as int)) as doc_type)), x -> x.type in ({_PLACEHOLDERS}) and (x.doc_type = x.type or x.doc_value = x.item_value))"
             )).alias("s"),
         )
-        .groupBy("doc_id", "item_id", "s.type", "s.item_value")
+        .groupBy("doc_id", "item_id", "shift", "s.type", "s.item_value")
         .agg(F.min("s.doc_value").alias("lo"), F.max("s.doc_value").alias("hi"))
     )
 
