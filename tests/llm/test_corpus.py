@@ -202,6 +202,25 @@ def test_near_duplicates_in_a_large_group(spark, scratch, monkeypatch):
     assert sum(got[i] == want[i] for i in got) >= 0.99 * len(got)
 
 
+def test_near_duplicates_whose_lowest_node_is_large(spark, scratch, monkeypatch):
+    """A passage in all documents makes large first nodes; pairs that share one meet in their small ones, without branches."""
+    rng = random.Random(8)
+    hot = [f"hot{i}" for i in range(45)]
+    rows = []
+    for f in range(60):
+        a = [f"f{f}w{i}" for i in range(100)]
+        b, c = list(a), list(a)
+        for i in (10, 20, 30):
+            b[i] = f"x{rng.randrange(10**9)}"
+        for i in (50, 60, 70, 80, 90):
+            c[i] = f"x{rng.randrange(10**9)}"
+        rows += [(3 * f + i, " ".join(hot + ws)) for i, ws in enumerate((c, a, b))]  # the least is similar to both, but not enough
+    monkeypatch.setattr(neardup, "WORK", 300)
+    monkeypatch.setattr(neardup, "LEVELS", 1)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), scratch).collect()}
+    assert got == {i: i - (i % 3 == 2) for i, _ in rows}
+
+
 def test_decontamination(spark, empty, scratch):
     items = [
         (0, "A train leaves Boston at 40 mph and reaches Denver after 30 hours; how far is Denver from Boston?"),
