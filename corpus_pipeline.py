@@ -41,7 +41,7 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: MinHash and the sketches have no SQL form; tests hold run() against brute force.
+#: Two stages have SQL of their own (OP4_SQL, OP7_SQL), the whole has none; a test holds the rows of run() against brute force on a small corpus.
 ORACLE_SQL = None
 
 

@@ -457,3 +457,58 @@ def test_pipeline_matches_its_stages(spark, tmp_path):
     one = {i for i in sets if group[i] == i}
     assert {r.doc_id for r in out} <= one and {r.shard for r in out} <= set(range(16))
     assert corpus_pipeline.ORACLE_SQL is None and [len(corpus_pipeline.STAGES)] == [5]
+
+
+def test_pipeline_rows_match_brute_force(spark, tmp_path):
+    """Full rows: what each stage keeps, how often mixing reads it, and where it stands. The item is a kept document."""
+    import corpus_pipeline
+
+    feats = {i: brute_quality(t) for i, t, *_ in ROWS}
+    base = {i: f[0] < 50 or 100 * f[4] > 50 * f[0] for i, f in feats.items()}
+    metric = lambda f: {"word_length": f[1] * 1000 // max(f[0], 1), "symbol_share": f[2] * 1000 // max(f[0], 1), "dup_line_share": f[3] * 1000 // max(f[5], 1), "repeat_share": f[4] * 1000 // max(f[0], 1)}
+    fence = {}
+    for m, (_, _, slack) in quality.METRICS.items():
+        v = sorted(metric(f)[m] for i, f in feats.items() if not base[i])
+        q1, q3 = (next(x for k, x in enumerate(v, 1) if 4 * k >= q * len(v)) for q in (1, 3))
+        fence[m] = q3 + quality.SPREAD * (q3 - q1 + slack)
+    sets = {i: shingle_set(t, 5) for i, t, *_ in ROWS if not base[i] and all(x <= fence[m] for m, x in metric(feats[i]).items())}
+    group = groups(sorted(sets), [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    text, source = {i: t or "" for i, t, *_ in ROWS}, {i: s or mixing.NO_SOURCE for i, _, _, s, *_ in ROWS}
+    one = sorted(i for i in sets if group[i] == i)
+    item = text[one[3]]
+    plain = {i: re.findall(r"[^\W\d_]+|\d+(?:[.,]\d+)*", text[i].lower()) for i in one}
+    cut = lambda w: [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
+    wanted = defaultdict(list)
+    for k, x in enumerate(cut(plain[one[3]])):
+        wanted[x].append(k)
+    shifts = {i: Counter(p - k for p, x in enumerate(cut(plain[i])) for k in wanted.get(x, ())) for i in one}
+    clean = [i for i in one if max(shifts[i].values(), default=0) < 6]
+    assert one[3] not in clean and len(clean) > 10
+
+    tokens = {i: len(words(text[i])) for i in clean}
+    totals = Counter()
+    for i in clean:
+        totals[source[i]] += tokens[i]
+    due = mixing.budgets(dict(totals), mixing.temperature(dict(totals))[1])
+    times = {i: due[source[i]] // totals[source[i]] for i in clean}
+    last = spark.createDataFrame([(i, source[i], times[i]) for i in clean], "doc_id long, source string, epoch long")
+    h = {r.doc_id: r.h for r in last.selectExpr("doc_id", f"xxhash64({mixing.SEED}, source, epoch, doc_id) as h").collect()}
+    before = Counter()
+    for i in sorted(clean, key=lambda i: (h[i], i)):
+        if before[source[i]] < due[source[i]] % totals[source[i]]:
+            times[i] += 1
+        before[source[i]] += tokens[i]
+    rows = [i for i in sorted(clean) for _ in range(times[i])]
+    size = {i: len(text[i].encode()) + 1 for i in clean}
+    total, at, slots, want = sum(size[i] for i in rows), 0, Counter(), Counter()
+    for i in rows:
+        s = min(15, (2 * at + size[i]) * 16 // (2 * total))
+        want[i, size[i], zlib.crc32(text[i].encode()), s, slots[s]] += 1
+        slots[s] += 1
+        at += size[i]
+
+    folder = str(tmp_path)
+    spark.createDataFrame(ROWS, SCHEMA).coalesce(2).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, folder).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in out) == want
