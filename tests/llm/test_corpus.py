@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from veritrail.llm import common, decontamination, language, licences, lines, mixing, neardup, passages, quality, sharding, suffixes
+from veritrail.llm import common, decontamination, language, licences, mixing, neardup, passages, quality, sharding, suffixes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, node long"
 
@@ -390,57 +390,6 @@ def test_passages(docs, empty, scratch):
     assert passages.near_duplicate_passages(empty, scratch).count() == 0
 
 
-def brute_edit(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
-
-
-def test_edit_distance():
-    rng = random.Random(9)
-    for _ in range(300):
-        a = "".join(rng.choices("abc", k=rng.randint(0, 30)))
-        b = "".join(rng.choices("abc", k=rng.randint(0, 30))) if rng.random() < 0.5 else a[: rng.randint(0, 30)] + rng.choice("abc") + a[5:]
-        assert lines.edit_distance(a, b) == brute_edit(a, b)
-
-
-def brute_lines():
-    seen, sims, at = {}, {}, []
-    for i, t, *_ in sorted(ROWS, key=lambda r: r[0]):
-        for no, ws in lines.normal_lines((t or "").encode()):
-            s = b" ".join(ws).decode()
-            at.append((i, no, s))
-            sims[s] = int(lines.simhashes([ws], common.WordHash())[0])
-    texts = list(dict.fromkeys(s for *_, s in at))
-    links = [(x, y) for x, a in enumerate(texts) for y, b in enumerate(texts) if x < y and bin(sims[a] ^ sims[b]).count("1") <= lines.BITS and lines.similar(a, b)]
-    group = groups(range(len(texts)), links)
-    number = {s: x for x, s in enumerate(texts)}
-    out = defaultdict(list)
-    for i, no, s in at:
-        g = group[number[s]]
-        if g in seen:
-            out[i].append(no)
-        seen.setdefault(g, (i, no))
-    return {i: (sum(1 for x in at if x[0] == i), len(out[i]), out[i]) for i, *_ in ROWS}
-
-
-@pytest.mark.parametrize("small", [lines.SMALL, 4])
-def test_fuzzy_lines(docs, empty, scratch, small, monkeypatch):
-    monkeypatch.setattr(lines, "SMALL", small)
-    got = {r.doc_id: (r.n_lines, r.n_removed, r.removed) for r in lines.fuzzy_lines(docs, scratch).collect()}
-    want = brute_lines()
-    assert got == want and any(w[1] for w in want.values())
-    cut = {r.doc_id: r.text for r in lines.without_lines(docs, scratch).collect()}
-    for i, t, *_ in ROWS:
-        keep = None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in want[i][2])
-        assert cut[i] == keep
-    assert lines.fuzzy_lines(empty, scratch).count() == 0
-
-
 def test_pipeline_matches_its_stages(spark, tmp_path):
     import corpus_pipeline
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 
 
 def pack(x: np.ndarray, size: int) -> bytes:
@@ -36,3 +37,21 @@ def values(batches):
     for batch in batches:
         yield from zip(batch.column(0).to_pylist(), (x.as_buffer().to_pybytes() for x in batch.column(1)))
     yield None, None
+
+
+#: Bytes of text for each range of keys, and the most ranges for each shuffle partition.
+RANGE_BYTES, MOST = 1 << 22, 16
+
+
+def ranges(spark: SparkSession, n_bytes: int) -> int:
+    """How many ranges of keys suit a corpus of so many bytes of text."""
+    return int(max(1, min(-(-n_bytes // RANGE_BYTES), MOST * max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))))
+
+
+def dealt(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows with ``part`` dealt by part, the rows of a part together and in ``order``.
+
+    A batch makes a row for each range that it reaches. Ranges follow the bytes of the corpus, not the shuffle partitions,
+    so a small corpus makes few rows however many partitions there are.
+    """
+    return rows.repartition("part").sortWithinPartitions("part", *order)
