@@ -342,13 +342,33 @@ def test_substrings(docs, empty, scratch, piece, monkeypatch):
     assert suffixes.exact_substrings(empty, scratch).count() == 0
 
 
+@pytest.mark.parametrize("far", [0, 1 << 61])
+def test_substrings_of_rows_that_share_an_id(spark, scratch, far):
+    """Each row is judged on its own text; rows of one id lose nothing to each other, and large ids keep their order."""
+    rng = random.Random(6)
+    x, y, z = ("".join(rng.choices("abcdefgh", k=300)) for _ in range(3))
+    rows = [(1 - far, x + y), (2 + far, z), (2 + far, x + y), (2 + far, z + x), (3 + far, z), (3 + far, z)]
+    got = {(r.doc_id, r.n_bytes, r.n_removed) for r in suffixes.exact_substrings(spark.createDataFrame(rows, "doc_id long, text string"), scratch).collect()}
+    assert got == {(1 - far, 600, 0), (2 + far, 300, 0), (2 + far, 600, 600), (2 + far, 600, 300), (3 + far, 300, 300)}
+
+
+def test_rows_follow_bytes_not_partitions(docs, scratch, spark):
+    made = {}
+    for n in ("4", "64"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        texts, n_bytes = suffixes._keyed(docs, scratch)
+        made[n] = suffixes._suffix_rows(texts.select("doc_id", "raw"), suffixes.ranges(spark, n_bytes)).count()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert made["4"] == made["64"]
+
+
 def test_family_levels_grow_geometrically():
     rng = np.random.default_rng(0)
     family = suffixes.Family()
     for i in range(40):
         key = np.unique(rng.integers(0, 5000, 50)).astype(np.uint64)
         n = len(key)
-        family.add(suffixes.Level(key, key + np.uint64(1), np.full(n, i), np.zeros(n, np.int64), np.ones(n, np.int64), np.zeros(n, bool)))
+        family.add(suffixes.Level(key, key + np.uint64(1), np.full(n, i << suffixes.TAG), np.zeros(n, np.int64), np.ones(n, np.int64), np.zeros(n, bool)))
     sizes = [len(x.key) for x in family.levels]
     assert all(a > 2 * b for a, b in zip(sizes, sizes[1:])) and len(np.unique(np.concatenate([x.key for x in family.levels]))) == sum(sizes)
 

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, mix, seeds, spark_hash, table
-from .packing import join, pack, split, unpack, values
+from .common import Scratch, arrow_map, mix, running, seeds, spark_hash, table
+from .packing import dealt, join, pack, ranges, split, unpack, values
 
 #: Bytes of a match, and of a sampled suffix's key.
 MATCH, GRAM = 50, 20
@@ -34,8 +34,10 @@ PIECE = 1 << 21
 BATCH = 1 << 24
 #: Contexts of a key that a batch hands on; more are settled window by window.
 CONTEXTS = 64
-#: Key ranges for each shuffle partition.
-RANGES = 4
+#: Bits of a document's key that tell rows of one doc_id with other texts apart; ids that do not fit beside them become ranks.
+TAG = 16
+#: Bytes of open runs of one range that are settled at once; more are dealt out by window first.
+SETTLE = 1 << 24
 _POS = np.uint64((1 << 24) - 1)
 _C = seeds(8, 5)
 _T = mix(np.arange(256, dtype=np.uint64) * _C[0] + _C[1])
@@ -207,8 +209,8 @@ class Family:
                 continue
             at = level.find(new.place)
             hit = (level.key[at] == new.key) & (level.ctx[at] == new.ctx)
-            later = hit & (new.doc > level.doc[at])
-            first = hit & (new.doc < level.doc[at])
+            later = hit & (new.doc >> TAG > level.doc[at] >> TAG)
+            first = hit & (new.doc >> TAG < level.doc[at] >> TAG)
             self._settle(new.take(later), OLD)
             known |= later
             opens |= hit & level.open[at]
@@ -268,7 +270,7 @@ def _batch_array(r: dict[str, np.ndarray], ids: np.ndarray, n_ranges: int) -> tu
     head_key = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
     head_ctx = head_key | np.concatenate([[True], ctx[1:] != ctx[:-1]]) if len(key) else head_key
     group = np.cumsum(head_ctx) - 1
-    old = doc > doc[np.flatnonzero(head_ctx)][group] if len(key) else np.zeros(0, bool)
+    old = doc >> TAG > doc[np.flatnonzero(head_ctx)][group] >> TAG if len(key) else np.zeros(0, bool)
     nth = group - group[np.flatnonzero(head_key)][np.cumsum(head_key) - 1] if len(key) else group  # of the key's contexts
     wide = ~old & (nth >= CONTEXTS)
     settled = old | wide
@@ -332,7 +334,7 @@ def _scanned(rows: DataFrame, n_ranges: int) -> DataFrame:
             level = Level(unpack(key, 5), unpack(ctx, 5), np.frombuffer(zlib.decompress(ids), "<i8")[unpack(at, 4).astype(np.int64)], unpack(lo, 5).astype(np.int64), n, np.zeros(len(n), bool))
             family.add(level.take(np.argsort(level.place, kind="stable")))
 
-    return arrow_map(rows.repartition("part").sortWithinPartitions("part", "first").select("part", "data"), run, "part int, data binary")
+    return arrow_map(dealt(rows, "first").select("part", "data"), run, "part int, data binary")
 
 
 def _found(found: list[tuple], n_ranges: int):
@@ -342,23 +344,24 @@ def _found(found: list[tuple], n_ranges: int):
 
 def _with_texts(docs: DataFrame, spans: DataFrame, n_ranges: int) -> DataFrame:
     """Spans and compressed texts dealt by document range, the spans of a range before its texts: part, doc_id, raw, data."""
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_ranges)).cast("int").alias("part"), "doc_id", "raw")
+    placed = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_ranges)).cast("int").alias("part"), "doc_id", "raw", "id")
 
     def squeezed(batches):
         for batch in batches:
-            yield {"part": batch.column(0), "doc_id": batch.column(1), "raw": [zlib.compress(x, 1) for x in batch.column(2).to_pylist()], "data": pa.nulls(len(batch), pa.binary())}
+            yield {"part": batch.column(0), "doc_id": batch.column(1), "raw": [zlib.compress(x, 1) for x in batch.column(2).to_pylist()], "data": pa.nulls(len(batch), pa.binary()), "id": batch.column(3)}
 
-    texts = arrow_map(dealt, squeezed, "part int, doc_id long, raw binary, data binary")
-    both = spans.select("part", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("raw"), "data").union(texts)
+    texts = arrow_map(placed, squeezed, "part int, doc_id long, raw binary, data binary, id long")
+    none = F.lit(None)
+    both = spans.select("part", none.cast("long").alias("doc_id"), none.cast("binary").alias("raw"), "data", none.cast("long").alias("id")).union(texts)
     return both.repartition("part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first())
 
 
 def _by_document(batches):
-    """(batch's documents) as (doc_id, raw, spans of the document: lo, n, kind)."""
+    """(batch's documents) as (key, id, raw, spans of the document: lo, n, kind)."""
     now, held, sorted_ = None, [], None
     for batch in batches:
         out = []
-        for part, doc, raw, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+        for part, doc, raw, data, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), batch.column(4).to_pylist()):
             if part != now:
                 now, held, sorted_ = part, [], None
             if doc is None:
@@ -374,7 +377,7 @@ def _by_document(batches):
                 held = []
             d, lo, n, kind = sorted_
             a, b = np.searchsorted(d, doc), np.searchsorted(d, doc, side="right")
-            out.append((doc, zlib.decompress(raw.as_buffer()), lo[a:b], n[a:b], kind[a:b]))
+            out.append((doc, own, zlib.decompress(raw.as_buffer()), lo[a:b], n[a:b], kind[a:b]))
         yield out
 
 
@@ -385,7 +388,7 @@ def _open_runs(dealt: DataFrame, n_ranges: int) -> DataFrame:
         for docs in _by_document(batches):
             out = {c: [] for c in ("key", "doc", "lo", "n", "off")}
             bodies: list[bytes] = []
-            for doc_id, raw, lo, n, kind in docs:
+            for doc_id, _, raw, lo, n, kind in docs:
                 sel = (kind == OPEN) & (lo + n - 1 + MATCH <= len(raw))
                 lo, n = lo[sel], n[sel]
                 for base in range(0, max(1, len(raw)), PIECE):
@@ -446,14 +449,27 @@ def _run_windows(raw: bytes) -> tuple[np.ndarray, ...]:
 
 
 def _settled_windows(rows: DataFrame, n_ranges: int) -> DataFrame:
-    """The windows of open runs that also start in a smaller document, as spans by document range."""
+    """The windows of open runs that also start in a smaller document, as spans by document range.
+
+    Windows are dealt out in slices by their own hash, so a common key with many contexts is settled in pieces of SETTLE bytes.
+    """
 
     def settle(held):
-        h, g, doc, at = (np.concatenate(x) for x in zip(*held))
+        size = sum(len(x) for x in held)
+        slices = -(-size // SETTLE)
+        for k in range(slices):
+            cols = []
+            for raw in held:
+                h, g, doc, at = _run_windows(raw)
+                mine = (h >> np.uint64(32)) % np.uint64(slices) == k
+                cols.append((h[mine], g[mine], doc[mine], at[mine]))
+            yield from settled(*(np.concatenate(x) for x in zip(*cols)))
+
+    def settled(h, g, doc, at):
         order = np.lexsort((doc, g, h))
         h, g, doc, at = h[order], g[order], doc[order], at[order]
-        head = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
-        old = doc > doc[np.flatnonzero(head)][np.cumsum(head) - 1]
+        head = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])]) if len(h) else np.zeros(0, bool)
+        old = doc >> TAG > doc[np.flatnonzero(head)][np.cumsum(head) - 1] >> TAG if len(h) else head
         doc, at = doc[old], at[old]
         order = np.lexsort((at, doc))
         doc, at = doc[order], at[order]
@@ -471,9 +487,9 @@ def _settled_windows(rows: DataFrame, n_ranges: int) -> DataFrame:
                     yield from settle(held)
                 now, held = part, []
             if part is not None:
-                held.append(_run_windows(raw))
+                held.append(raw)
 
-    return arrow_map(rows.repartition("part").sortWithinPartitions("part"), run, "part int, data binary")
+    return arrow_map(dealt(rows), run, "part int, data binary")
 
 
 def removed_ranges(lo: np.ndarray, n: np.ndarray, size: int) -> list[tuple[int, int]]:
@@ -488,12 +504,24 @@ def removed_ranges(lo: np.ndarray, n: np.ndarray, size: int) -> list[tuple[int,
     return out
 
 
+def _keyed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """(texts, bytes): the rows with a doc_id as doc_id (a key in the order of ids whose low TAG bits are the text's), raw, id."""
+    known = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
+    n_bytes, low, high = known.agg(F.sum(F.octet_length("raw")), F.min("id"), F.max("id")).first()
+    tag = F.crc32("raw") % (1 << TAG)
+    if low is not None and (low < -(1 << 62 - TAG) or high >= 1 << 62 - TAG):
+        ids = known.select("id").distinct().withColumn("one", F.lit(1).cast("long"))
+        rank = running(ids, scratch, [], ["id"], "one").select("id", F.col("idx").alias("rank"))
+        known = known.join(rank, "id")
+        return known.select((F.col("rank") * (1 << TAG) + tag).alias("doc_id"), "raw", "id"), n_bytes
+    return known.select((F.col("id") * (1 << TAG) + tag).alias("doc_id"), "raw", "id"), n_bytes or 0
+
+
 def old_spans(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
     """(texts, spans, number of ranges): every old window of every document, packed by document range."""
-    spark = docs.sparkSession
-    n_ranges = RANGES * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
-    spans = scratch.keep(_scanned(_suffix_rows(texts, n_ranges), n_ranges), "spans")
+    texts, n_bytes = _keyed(docs, scratch)
+    n_ranges = ranges(docs.sparkSession, n_bytes)
+    spans = scratch.keep(_scanned(_suffix_rows(texts.select("doc_id", "raw"), n_ranges), n_ranges), "spans")
     scratch.release()
     more = scratch.keep(_settled_windows(_open_runs(_with_texts(texts, spans, n_ranges), n_ranges), n_ranges), "spans")
     scratch.release()
@@ -506,7 +534,7 @@ def _cut(docs: DataFrame, scratch: Scratch, row, schema: str) -> DataFrame:
     def run(batches):
         for docs_ in _by_document(batches):
             rows = []
-            for doc_id, raw, lo, n, kind in docs_:
+            for _, doc_id, raw, lo, n, kind in docs_:
                 b = raw
                 gone = removed_ranges(lo[kind == OLD], n[kind == OLD], len(b))
                 at, kept = 0, []
@@ -526,8 +554,8 @@ def exact_substrings(docs: DataFrame, scratch: Scratch) -> DataFrame:
     Removed is each UTF-8 byte covered by a string of MATCH bytes that also starts in a document with a smaller doc_id,
     judged on the input. The result is exact but for collisions of the 80-bit hashes of runs and windows.
 
-    A null text is empty. Texts under MATCH bytes lose nothing. Rows that share a doc_id are copies of one document.
-    Rows without doc_id are left out. An empty table gives no rows. Extra columns are ignored.
+    A null text is empty. Texts under MATCH bytes lose nothing; very long ones are sampled in pieces that overlap.
+    Rows that share a doc_id are judged each on its own text, and never lose bytes to each other. Rows without doc_id are left out. An empty table gives no rows. Extra columns are ignored.
     """
 
     def digest(doc_id, raw, gone, kept):
