@@ -122,16 +122,35 @@ def brute_quality(t):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(ls) - len(set(ls)), len(covered), len(ls)
 
 
-def test_quality(docs, empty, scratch):
-    feats = {i: brute_quality(t) for i, t, *_ in ROWS}
+def brute_verdicts(rows):
+    """doc_id -> (base counts, base_failed, kept), with limits of sources drawn to those of languages and of the corpus."""
+    feats = {r[0]: brute_quality(r[1]) for r in rows}
+    group = {r[0]: (r[2], r[3]) for r in rows}
     base = {i: f[0] < 50 or 100 * f[4] > 50 * f[0] for i, f in feats.items()}
-    metric = lambda f: {"word_length": f[1] * 1000 // max(f[0], 1), "symbol_share": f[2] * 1000 // max(f[0], 1), "dup_line_share": f[3] * 1000 // max(f[5], 1), "repeat_share": f[4] * 1000 // max(f[0], 1)}
-    fence = {}
-    for m, (_, _, slack) in quality.METRICS.items():  # all groups are small here, so the corpus' limits hold
-        v = sorted(metric(f)[m] for i, f in feats.items() if not base[i])
+    parts = {"word_length": (1, 0, 300), "symbol_share": (2, 0, 20), "dup_line_share": (3, 5, 120), "repeat_share": (4, 0, 60)}
+    value = lambda f, m: f[parts[m][0]] * 1000 // max(f[parts[m][1]], 1)
+    rough = lambda v: v if v < 1024 else v >> v.bit_length() - 10 << v.bit_length() - 10
+
+    def fences(m, ids):
+        v = sorted(rough(value(feats[i], m)) for i in ids)
         q1, q3 = (next(x for k, x in enumerate(v, 1) if 4 * k >= q * len(v)) for q in (1, 3))
-        fence[m] = q3 + quality.SPREAD * (q3 - q1 + slack)
-    want = {i: (*f[:5], base[i], not base[i] and all(x <= fence[m] for m, x in metric(f).items())) for i, f in feats.items()}
+        return len(v), q3 + 6 * (q3 - q1 + parts[m][2]), max(0, q1 - 3 * (q3 - q1 + parts[m][2]))
+
+    def fine(i):
+        for m in parts:
+            high, low = None, None
+            for inside in (lambda j: True, lambda j: group[j][0] == group[i][0], lambda j: group[j] == group[i]):
+                n, h, lo = fences(m, [j for j in feats if not base[j] and inside(j)])
+                high, low = (h, lo) if high is None else ((n * h + 50 * high) // (n + 50), (n * lo + 50 * low) // (n + 50))
+            if value(feats[i], m) > high or m == "word_length" and value(feats[i], m) < low:
+                return False
+        return True
+
+    return {i: (*f[:5], base[i], not base[i] and fine(i)) for i, f in feats.items()}
+
+
+def test_quality(docs, empty, scratch):
+    want = brute_verdicts(ROWS)
     got = {r.doc_id: tuple(r)[1:] for r in quality.quality_verdicts(docs, scratch).collect()}
     assert got == want
     kept = quality.quality_filter(docs, scratch)
@@ -139,6 +158,19 @@ def test_quality(docs, empty, scratch):
     assert quality.quality_verdicts(empty, scratch).count() == 0 and quality.quality_filter(empty, scratch).count() == 0
 
 
+def test_quality_limits_of_groups_decide(spark, scratch):
+    """Symbols are usual in one source of code and long words in one language: the same text is kept there and rejected elsewhere."""
+    rng = random.Random(14)
+    text = lambda k, extra: " ".join("".join(rng.choices("abcdefg", k=k)) + extra for _ in range(60 + rng.randrange(9)))
+    kinds = {("en", "web"): (4, ""), ("en", "code"): (4, "##$"), ("de", "web"): (9, ""), (None, "web"): (4, "")}
+    rows = [(k, text(*kind), *g) for n, (g, kind) in enumerate(kinds.items()) for k in range(600 * n, 600 * n + 600)]
+    odd = [(9000, text(4, "##$"), "en", "web"), (9001, text(4, "##$"), "en", "code"), (9002, text(4, "##$"), "de", "web"), (9003, "a " * 30 + text(1, "")[:50], "de", "web")]
+    df = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.kept for r in quality.quality_verdicts(df, scratch).collect()}
+    assert {i: got[i] for i, *_ in odd[:3]} == {9000: False, 9001: True, 9002: False}
+    assert sum(got[i] for i, *_ in rows) >= 0.99 * len(rows)
+
+
 def test_licences(docs, empty):
     got = {r.doc_id: r for r in licences.licence_scan(docs).collect()}
     for i, t, *_ in ROWS:
@@ -432,15 +464,8 @@ def test_pipeline_rows_match_brute_force(spark, tmp_path):
     """Full rows: what each stage keeps, how often mixing reads it, and where it stands. The item is a kept document."""
     import corpus_pipeline
 
-    feats = {i: brute_quality(t) for i, t, *_ in ROWS}
-    base = {i: f[0] < 50 or 100 * f[4] > 50 * f[0] for i, f in feats.items()}
-    metric = lambda f: {"word_length": f[1] * 1000 // max(f[0], 1), "symbol_share": f[2] * 1000 // max(f[0], 1), "dup_line_share": f[3] * 1000 // max(f[5], 1), "repeat_share": f[4] * 1000 // max(f[0], 1)}
-    fence = {}
-    for m, (_, _, slack) in quality.METRICS.items():
-        v = sorted(metric(f)[m] for i, f in feats.items() if not base[i])
-        q1, q3 = (next(x for k, x in enumerate(v, 1) if 4 * k >= q * len(v)) for q in (1, 3))
-        fence[m] = q3 + quality.SPREAD * (q3 - q1 + slack)
-    sets = {i: shingle_set(t, 5) for i, t, *_ in ROWS if not base[i] and all(x <= fence[m] for m, x in metric(feats[i]).items())}
+    verdict = brute_verdicts(ROWS)
+    sets = {i: shingle_set(t, 5) for i, t, *_ in ROWS if verdict[i][-1]}
     group = groups(sorted(sets), [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
     text, source = {i: t or "" for i, t, *_ in ROWS}, {i: s or mixing.NO_SOURCE for i, _, _, s, *_ in ROWS}
     one = sorted(i for i in sets if group[i] == i)

@@ -13,20 +13,23 @@ from .common import SPACE, Scratch, arrow_map, fresh, table
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A sketch bin is one unit of a metric in parts per thousand; the limits are the fence
-#: upper quartile + SPREAD * (interquartile range + slack), so a narrow group is not cut at its edge.
-SPREAD = 6
-#: A (language, source) group with fewer rows takes the limits of the whole corpus.
-MIN_GROUP = 200
+#: The limits of a metric are the fences upper quartile + SPREAD * (interquartile range + slack) and, where it has one,
+#: lower quartile - SPREAD_LOW * (interquartile range + slack), so a narrow group is not cut at its edge.
+SPREAD, SPREAD_LOW = 6, 3
+#: A sketch has a bin for every value under EXACT (parts per thousand), and EXACT / 2 bins for each doubling above it.
+EXACT = 1024
+#: The limits of a group with n rows are drawn towards those of the group above it with PRIOR / (n + PRIOR): a source of a
+#: language towards the language, a language towards the corpus. A large group has limits of its own, a small one nearly its parent's.
+PRIOR = 50
 
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
-#: name of the metric, its numerator and denominator, and its slack; values are per thousand.
+#: name of the metric, its numerator and denominator, its slack, and whether it has a lower fence; values are per thousand.
 #: A few repeated lines or words are usual in short clean texts, so their slack is larger.
 METRICS = {
-    "word_length": ("word_chars", "n_words", 300),
-    "symbol_share": ("n_symbols", "n_words", 20),
-    "dup_line_share": ("n_dup_lines", "n_lines", 120),
-    "repeat_share": ("n_repeat_words", "n_words", 60),
+    "word_length": ("word_chars", "n_words", 300, True),
+    "symbol_share": ("n_symbols", "n_words", 20, False),
+    "dup_line_share": ("n_dup_lines", "n_lines", 120, False),
+    "repeat_share": ("n_repeat_words", "n_words", 60, False),
 }
 
 
@@ -83,78 +86,81 @@ def with_features(docs: DataFrame, keep: list[str], prefix: str) -> DataFrame:
 
 
 def _permille(prefix: str, metric: str) -> Column:
-    num, den, _ = METRICS[metric]
+    num, den, *_ = METRICS[metric]
     return F.expr(f"`{prefix}_{num}` * 1000 div greatest(`{prefix}_{den}`, 1)")
 
 
 def sketch(rows: DataFrame, prefix: str) -> DataFrame:
     """Mergeable quantile sketches: counts of the bins of each metric per (lang, source).
 
-    Two sketches merge by adding their counts, so they can be built per day or per folder. The bins
-    are exact to one part in a thousand of the metric. Rows that the fixed base rules reject teach nothing.
+    Two sketches merge by adding their counts, so they can be built per day or per folder. Values under EXACT have a bin
+    each; larger ones share bins of a relative width of 2 / EXACT, so a sketch has under EXACT * 27 bins however many rows it
+    has. Rows that the fixed base rules reject teach nothing.
     """
-    bins = rows.select(
-        "lang", "source", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), _permille(prefix, m).alias("bin")) for m in METRICS])).alias("x")
-    )
-    return bins.groupBy("lang", "source", F.col("x.metric").alias("metric"), F.col("x.bin").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    values = rows.select("lang", "source", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), _permille(prefix, m).alias("v")) for m in METRICS])).alias("x"))
+    bins = F.expr(f"if(x.v < {EXACT}, x.v, x.v - x.v % shiftleft(1L, cast(floor(log2(x.v)) as int) - {EXACT.bit_length() - 2}))")
+    return values.groupBy("lang", "source", F.col("x.metric").alias("metric"), bins.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def limits(sketches: DataFrame, spread: int = SPREAD, min_group: int = MIN_GROUP) -> DataFrame:
-    """The upper limit of each metric per (lang, source), from the quartiles of the merged sketches.
+def limits(sketches: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """lang, source, metric, high, low: the limits of every (lang, source), from the quartiles of merged sketches.
 
-    Returns lang, source, metric, limit; the row with is_all is the whole corpus.
+    Nulls are groups of their own. Quartiles are the least bins that hold a quarter and three quarters of the rows.
     """
-    grouped = sketches.groupBy("lang", "source", "metric", "bin").agg(F.sum("n").alias("n")).withColumn("is_all", F.lit(False))
-    every = sketches.groupBy("metric", "bin").agg(F.sum("n").alias("n")).select(
-        F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), "metric", "bin", "n", F.lit(True).alias("is_all")
+    level = lambda n, lang, source: F.struct(F.lit(n).alias("level"), lang.alias("lang"), source.alias("source"))
+    none = F.lit(None).cast("string")
+    merged = (
+        sketches.select(F.explode(F.array(level(0, none, none), level(1, F.col("lang"), none), level(2, F.col("lang"), F.col("source")))).alias("g"), "metric", "bin", "n")
+        .groupBy("g.level", "g.lang", "g.source", "metric", "bin").agg(F.sum("n").alias("n"))
     )
-    key = ["is_all", "lang", "source", "metric"]
+    key = ["level", "lang", "source", "metric"]
     w = Window.partitionBy(*key)
-    run = grouped.unionByName(every).select(
-        *key, "bin", F.sum("n").over(w.orderBy("bin")).alias("upto"), F.sum("n").over(w).alias("total")
-    )
+    run = merged.select(*key, "bin", F.sum("n").over(w.orderBy("bin")).alias("upto"), F.sum("n").over(w).alias("total"))
     quart = run.groupBy(*key).agg(
         F.min(F.when(4 * F.col("upto") >= F.col("total"), F.col("bin"))).alias("q1"),
         F.min(F.when(4 * F.col("upto") >= 3 * F.col("total"), F.col("bin"))).alias("q3"),
         F.max("total").alias("total"),
     )
-    slack = F.expr("case metric " + " ".join(f"when '{m}' then {s}" for m, (_, _, s) in METRICS.items()) + " end")
-    return quart.filter((F.col("total") >= min_group) | F.col("is_all")).select(
-        *key, (F.col("q3") + spread * (F.col("q3") - F.col("q1") + slack)).alias("limit")
-    )
+    slack = F.expr("case metric " + " ".join(f"when '{m}' then {s}" for m, (_, _, s, _) in METRICS.items()) + " end")
+    wide = F.col("q3") - F.col("q1") + slack
+    own = quart.select(*key, "total", (F.col("q3") + SPREAD * wide).alias("high"), F.greatest(F.lit(0), F.col("q1") - SPREAD_LOW * wide).alias("low"))
 
+    def at(n: int) -> DataFrame:
+        return own.filter(F.col("level") == n).select(F.col("lang").alias(f"lang{n}"), F.col("source").alias(f"source{n}"), F.col("metric").alias(f"metric{n}"), *[F.col(c).alias(f"{c}{n}") for c in ("total", "high", "low")])
 
-def _wide(lim: DataFrame) -> tuple[DataFrame, DataFrame]:
-    pick = [F.max(F.when(F.col("metric") == m, F.col("limit"))).alias(m) for m in METRICS]
-    own = lim.filter("not is_all").groupBy(F.col("lang").alias("g_lang"), F.col("source").alias("g_source")).agg(*pick)
-    every = lim.filter("is_all").agg(*[p.alias(f"all_{m}") for m, p in zip(METRICS, pick)])
-    return own, every
+    drawn = lambda c, n, above: F.expr(f"(total{n} * {c}{n} + {prior} * ({above})) div (total{n} + {prior})")
+    tree = at(2).join(at(1), F.col("lang2").eqNullSafe(F.col("lang1")) & (F.col("metric2") == F.col("metric1"))).join(at(0), F.col("metric2") == F.col("metric0"))
+    for c in ("high", "low"):
+        tree = tree.withColumn(f"{c}_lang", drawn(c, 1, f"{c}0")).withColumn(c, drawn(c, 2, f"{c}_lang"))
+    return tree.select(F.col("lang2").alias("lang"), F.col("source2").alias("source"), F.col("metric2").alias("metric"), "high", "low")
 
 
 def judged(rows: DataFrame, prefix: str) -> DataFrame:
     """Adds ``{prefix}_base_failed`` and ``{prefix}_kept`` to rows with features.
 
-    Groups compare lang and source null-safely: a null is a group of its own. A group smaller than
-    MIN_GROUP takes the corpus' limits. The limits have as many rows as there are groups; Spark
-    picks the join by their measured size.
+    Groups compare lang and source null-safely: a null is a group of its own. The limits have as many rows as there are
+    groups; Spark picks the join by their measured size.
     """
     base = f"(`{prefix}_n_words` < {MIN_WORDS} or 100 * `{prefix}_n_repeat_words` > {MAX_REPEAT_PERCENT} * `{prefix}_n_words`)"
     rows = rows.withColumn(f"{prefix}_base_failed", F.expr(base))
-    own, every = _wide(limits(sketch(rows.filter(~F.col(f"{prefix}_base_failed")), prefix)))
-    joined = rows.join(own, rows["lang"].eqNullSafe(own["g_lang"]) & rows["source"].eqNullSafe(own["g_source"]), "left").crossJoin(F.broadcast(every))  # one row
+    lim = limits(sketch(rows.filter(~F.col(f"{prefix}_base_failed")), prefix))
+    pick = [F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{c}") for m in METRICS for c in ("high", "low")]
+    own = lim.groupBy(F.col("lang").alias("g_lang"), F.col("source").alias("g_source")).agg(*pick)
+    joined = rows.join(own, rows["lang"].eqNullSafe(own["g_lang"]) & rows["source"].eqNullSafe(own["g_source"]), "left")
     fine = F.lit(True)
-    for m in METRICS:
-        limit = F.coalesce(F.col(m), F.col(f"all_{m}"))
-        fine = fine & (limit.isNull() | (_permille(prefix, m) <= limit))
-    return joined.withColumn(f"{prefix}_kept", ~F.col(f"{prefix}_base_failed") & fine).drop(*METRICS, *[f"all_{m}" for m in METRICS], "g_lang", "g_source")
+    for m, (_, _, _, lower) in METRICS.items():
+        fine = fine & F.coalesce(_permille(prefix, m) <= F.col(f"{m}_high"), F.lit(True))
+        if lower:
+            fine = fine & F.coalesce(_permille(prefix, m) >= F.col(f"{m}_low"), F.lit(True))
+    return joined.withColumn(f"{prefix}_kept", ~F.col(f"{prefix}_base_failed") & fine).drop(*[f"{m}_{c}" for m in METRICS for c in ("high", "low")], "g_lang", "g_source")
 
 
 def quality_verdicts(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, the base counts, base_failed and kept.
 
     Every whole text is counted once; the counts (no texts) are written, sketched per (lang, source)
-    and joined with the limits. A null text has no words and fails the base rules. Repeated rows are
-    judged each. An empty table gives no rows. Extra columns are ignored.
+    and joined with the limits. A null text has no words and fails the base rules. A very long text is counted whole. Repeated
+    rows, and rows that share a doc_id, are judged each. A value equal to a limit is kept. An empty table gives no rows. Extra columns are ignored.
     """
     rows = scratch.keep(with_features(docs.select("doc_id", "lang", "source", "text"), ["doc_id", "lang", "source"], "f"), "features")
     return judged(rows, "f").select(
@@ -200,27 +206,36 @@ f AS (
   FROM w LEFT JOIN lines USING (rid) LEFT JOIN reps USING (rid)
 ),
 g AS (SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AS base_failed FROM f),
-bins AS (
-  {" UNION ALL ".join(f"SELECT rid, lang, source, base_failed, '{m}' AS metric, {a} * 1000 // greatest({b}, 1) AS bin FROM g" for m, (a, b, _) in METRICS.items())}
+vals AS (
+  {" UNION ALL ".join(f"SELECT rid, lang, source, base_failed, '{m}' AS metric, {a} * 1000 // greatest({b}, 1) AS v FROM g" for m, (a, b, _, _) in METRICS.items())}
 ),
+bins AS (SELECT *, CASE WHEN v < 1024 THEN v ELSE v - v % (1::BIGINT << (floor(log2(v))::INT - 9)) END AS bin FROM vals WHERE NOT base_failed),
 sk AS (
-  SELECT false AS is_all, lang, source, metric, bin, count(*) AS n FROM bins WHERE NOT base_failed GROUP BY ALL
-  UNION ALL SELECT true, NULL, NULL, metric, bin, count(*) FROM bins WHERE NOT base_failed GROUP BY ALL
+  SELECT 2 AS level, lang, source, metric, bin, count(*) AS n FROM bins GROUP BY ALL
+  UNION ALL SELECT 1, lang, NULL, metric, bin, count(*) FROM bins GROUP BY ALL
+  UNION ALL SELECT 0, NULL, NULL, metric, bin, count(*) FROM bins GROUP BY ALL
 ),
 cum AS (
-  SELECT *, sum(n) OVER (PARTITION BY is_all, lang, source, metric ORDER BY bin) AS upto,
-    sum(n) OVER (PARTITION BY is_all, lang, source, metric) AS total FROM sk
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bin) AS upto,
+    sum(n) OVER (PARTITION BY level, lang, source, metric) AS total FROM sk
 ),
 lim AS (
-  SELECT is_all, lang, source, metric, max(total) AS total, min(bin) FILTER (4 * upto >= total) AS q1, min(bin) FILTER (4 * upto >= 3 * total) AS q3
-  FROM cum GROUP BY is_all, lang, source, metric
+  SELECT level, lang, source, metric, max(total)::BIGINT AS total, min(bin) FILTER (4 * upto >= total) AS q1, min(bin) FILTER (4 * upto >= 3 * total) AS q3,
+    CASE metric {' '.join(f"WHEN '{m}' THEN {s}" for m, (_, _, s, _) in METRICS.items())} END AS slack
+  FROM cum GROUP BY level, lang, source, metric
+),
+own AS (SELECT *, q3 + 6 * (q3 - q1 + slack) AS high, greatest(0, q1 - 3 * (q3 - q1 + slack)) AS low FROM lim),
+langs AS (
+  SELECT o.lang, o.metric, (o.total * o.high + 50 * e.high) // (o.total + 50) AS high, (o.total * o.low + 50 * e.low) // (o.total + 50) AS low
+  FROM own o JOIN own e ON o.level = 1 AND e.level = 0 AND o.metric = e.metric
+),
+fence AS (
+  SELECT o.lang, o.source, o.metric, (o.total * o.high + 50 * l.high) // (o.total + 50) AS high, (o.total * o.low + 50 * l.low) // (o.total + 50) AS low
+  FROM own o JOIN langs l ON o.level = 2 AND o.metric = l.metric AND o.lang IS NOT DISTINCT FROM l.lang
 ),
-fence AS (SELECT *, q3 + {SPREAD} * (q3 - q1 + CASE metric {' '.join(f"WHEN '{m}' THEN {s}" for m, (_, _, s) in METRICS.items())} END) AS lim FROM lim WHERE is_all OR total >= {MIN_GROUP}),
 bad AS (
-  SELECT DISTINCT b.rid FROM bins b
-  LEFT JOIN fence o ON NOT o.is_all AND o.metric = b.metric AND o.lang IS NOT DISTINCT FROM b.lang AND o.source IS NOT DISTINCT FROM b.source
-  LEFT JOIN fence e ON e.is_all AND e.metric = b.metric
-  WHERE b.bin > coalesce(o.lim, e.lim)
+  SELECT DISTINCT v.rid FROM vals v JOIN fence o ON o.metric = v.metric AND o.lang IS NOT DISTINCT FROM v.lang AND o.source IS NOT DISTINCT FROM v.source
+  WHERE v.v > o.high OR (v.metric = 'word_length' AND v.v < o.low)
 )
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, base_failed, (NOT base_failed AND rid NOT IN (SELECT rid FROM bad)) AS kept
