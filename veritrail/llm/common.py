@@ -150,6 +150,29 @@ def seeds(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * _K2 + np.uint64(seed)) | np.uint64(1)
 
 
+#: Repeated ids (long) up to which they are broadcast.
+BROADCAST_IDS = 1_000_000
+
+
+def row_keys(docs: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """The rows with a doc_id as doc_id (a key of the row), id, text, if some rows share a doc_id; else None.
+
+    The key is the doc_id where it is the row's alone, else a 64-bit hash of doc_id and text, so that rows of one doc_id with
+    other texts are told apart and true copies are not.
+    """
+    known = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
+    often = scratch.keep(known.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", F.lit(True).alias("often")), "repeated")
+    n = often.count()
+    if not n:
+        return None
+    joined = known.join(F.broadcast(often) if n <= BROADCAST_IDS else often, "id", "left")
+    return joined.select(F.when(F.col("often"), row_hash("id", "text")).otherwise(F.col("id")).alias("doc_id"), "id", "text")
+
+
+def row_hash(doc_id, text) -> Column:
+    return F.xxhash64(doc_id, F.coalesce(text if isinstance(text, Column) else F.col(text), F.lit("")))
+
+
 def running(df: DataFrame, scratch: Scratch, group: list[str], order: list[str], size: str) -> DataFrame:
     """Adds ``before`` (sum of ``size`` of earlier rows of the group), ``idx`` (their number) and ``group_total``.
 

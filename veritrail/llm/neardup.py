@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHash, arrow_map, components, mix, seeds, shingles, table
+from .common import Scratch, WordHash, arrow_map, components, fresh, mix, row_hash, row_keys, seeds, shingles, table
 
 #: Words of a shingle, and the least intersection as a percentage of the union.
 SHINGLE, PERCENT = 4, 80
@@ -26,8 +26,9 @@ SMALL, WORK = 20_000, 4_000_000
 STEP, SECOND = 2, 0.5625
 #: Pairs are compared in full if their estimate is less than so many deviations below the least similarity.
 DEVIATIONS = 3.0
-#: After so many levels the members of a node agree in nearly all min-hashes, and each is compared with the node's ends.
-LEVELS = 16
+#: After so many levels the members of a node agree in nearly all min-hashes; what is still too large is dealt in cells, which hold
+#: two chunks of so many members and together every pair.
+LEVELS, CHUNK = 16, 1000
 
 _A = seeds(TREES + MORE, 11)
 
@@ -232,8 +233,35 @@ def _branched(members: DataFrame) -> DataFrame:
     return arrow_map(members.select("node", "rep", "more"), run, "node long, tree int, rep long")
 
 
+def _cells(large: DataFrame) -> DataFrame:
+    """The members of large nodes in cells of two chunks each, so that every pair meets in one cell at least."""
+    dealt = large.withColumn("chunks", F.ceil(F.col("n") / CHUNK)).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks"))).withColumn("other", F.explode(F.expr("sequence(0L, chunks - 1)")))
+    return dealt.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), F.lit(-1).alias("tree"), "rep", "comp", F.lit(0).alias("smalls"))
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept; see _of_unique for the method.
+
+    A row stands for its own text: of rows that share a doc_id each has the component of its text, named by the smallest
+    doc_id in it, and is kept if that is its doc_id. Rows without doc_id are kept, with a null component.
+    """
+    keyed = row_keys(docs, scratch)
+    if keyed is None:
+        return _of_unique(docs, scratch, k, percent)
+    got = _by_key(keyed, scratch, k, percent)
+    rows = keyed.select("doc_id").join(got, "doc_id").select(F.col("id").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"), (F.col("id") == F.col("least")).alias("kept"))
+    return rows.union(_of_unique(docs.filter("doc_id is null"), scratch, k, percent))
+
+
+def _by_key(keyed: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
+    """For each key of row_keys: doc_id (the key), id, n_shingles, least (the smallest id of its component), stays (one key of each component)."""
+    got = scratch.keep(_of_unique(keyed.dropDuplicates(["doc_id"]), scratch, k, percent).join(keyed.select("doc_id", "id").distinct(), "doc_id"), "keys")
+    least = got.groupBy("component_id").agg(F.min(F.struct("id", "doc_id")).alias("m"))
+    return got.join(least, "component_id").select("doc_id", "id", "n_shingles", F.col("m.id").alias("least"), (F.col("doc_id") == F.col("m.doc_id")).alias("stays"))
+
+
+def _of_unique(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row per row of ``docs``, whose doc_ids are unique or null: doc_id, n_shingles, component_id, kept.
 
     1. Each document's distinct k-word shingles are sketched; documents with the same set form a class, whose
        representative is the smallest doc_id.
@@ -249,9 +277,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, percent
     chance 0.998; more similar pairs more often. It is compared in the lowest of these nodes that is small. Only if all of
     them are large does it rest on the branches: a shared node keeps a shared child with chance 0.77 a level, and over all
     its shared nodes the pair keeps one with chance 0.9995 for 4 levels, 0.991 for 8 and 0.935 for 16, if branches were
-    independent (a calculation, not a measurement). Documents of fewer shingles than bins are estimated nearly exactly. Null or empty texts have no shingles and stand alone. Rows that share a
-    doc_id are one node of the graph. Rows without doc_id are kept, with a null component. An empty table gives no
-    rows. Extra columns are ignored.
+    independent (a calculation, not a measurement). Documents of fewer shingles than bins are estimated nearly exactly. Null or empty texts have no shingles and stand alone. A very
+    long text is one set, read whole. Equal sets tie, and the smallest doc_id represents them. Rows without doc_id are kept,
+    with a null component. An empty table gives no rows. Extra columns are ignored.
     """
     known = docs.filter("doc_id is not null")
     sketched = scratch.keep(sketches(docs, k), "sketches")
@@ -290,6 +318,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, percent
             candidates.append(scratch.keep(_estimated(across(ends), classes.select("rep", "n", "sig")), "pairs"))
         if not large.head(1):
             break
+        if level == LEVELS - 1:
+            candidates.append(scratch.keep(_exhaustive(_cells(large).join(features, "rep")), "pairs"))
+            break
         front = scratch.keep(_branched(large.join(classes.select("rep", "more"), "rep")), "front")
     pairs = candidates[0]
     for c in candidates[1:]:
@@ -306,12 +337,22 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, percent
 
 
 def one_of_each(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that represent their component, all columns unchanged. Rows that share a
-    doc_id stay or go together."""
+    """The rows of ``docs`` that represent their component, all columns unchanged: those of its smallest doc_id.
+
+    Rows that share a doc_id are judged each by its text, so a text goes only if a similar one stays.
+    """
     names = docs.columns
-    verdict = near_duplicates(docs, scratch, k, percent).filter("not kept").select("doc_id").distinct()
-    gone = scratch.keep(verdict, "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in names])
+    keyed = row_keys(docs, scratch)
+    if keyed is None:
+        gone = scratch.keep(_of_unique(docs, scratch, k, percent).filter("not kept").select("doc_id"), "gone")
+        return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in names])
+    got = _by_key(keyed, scratch, k, percent)
+    key, gone_key = fresh("row_key", names), fresh("gone_key", names)
+    gone = scratch.keep(got.filter("not stays").select(F.when(F.col("id") == F.col("doc_id"), F.lit(None)).otherwise(F.col("doc_id")).alias("hash"), F.col("doc_id").alias(gone_key)), "gone")
+    row = docs.withColumn(key, row_hash(F.col("doc_id").cast("long"), F.col("text")))
+    alone = gone.filter("hash is null").select(F.col(gone_key).alias("doc_id"))
+    left = row.join(gone.filter("hash is not null").select(F.col(gone_key).alias(key)), key, "left_anti").join(alone, "doc_id", "left_anti")
+    return left.select(*[F.col(f"`{c}`") for c in names])
 
 
 def op4_minhash_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
