@@ -15,6 +15,8 @@ DIM = 32
 NGRAMS = (1, 2, 3, 4)
 #: Bound of the training sample: so many documents of each language, those with the smallest hash of their id.
 SAMPLE_PER_LANGUAGE = 1500
+#: ... and about so many of all languages together, as the driver holds a dense row of BUCKETS counts for each.
+SAMPLE = 12_000
 #: The SGD.
 EPOCHS, BATCH, RATE, SEED = 12, 32, 0.5, 7
 #: Predictions are rejected below the confidence that this part of the right validation predictions exceeds.
@@ -53,9 +55,18 @@ class Model:
         if text is None or not self.languages or not has_letter(text):
             return UNKNOWN, 0.0, False
         x = subword_counts(text.encode("utf-8", "surrogatepass"))
-        p = _softmax((x @ self.table / max(1, x.sum()))[None] / self.temperature)[0]
-        i = int(p.argmax())
-        return self.languages[i], float(min(1.0, p[i])), bool(p[i] >= self.threshold)
+        z = (x @ self.table / max(1, x.sum()))[None] / self.temperature
+        p = _softmax(z)[0]
+        i = int(p.argmax())  # of equal ones the first in the order of names
+        return self.languages[i], float(min(1.0, p[i])), bool(_margins(z)[0] >= self.threshold)
+
+
+def _margins(z: np.ndarray) -> np.ndarray:
+    """How far the largest logit is above the next one; unlike its probability this does not saturate."""
+    if z.shape[1] < 2:
+        return z[:, 0]
+    top = np.partition(z, -2, axis=1)
+    return top[:, -1] - top[:, -2]
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -66,8 +77,9 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def train(counts: np.ndarray, labels: list[str]) -> Model:
     """Fits embeddings and softmax by mini-batch SGD on nine tenths of the rows; the rest calibrate.
 
-    The temperature minimises the log loss of the validation rows, the threshold keeps KEEP_RIGHT of their
-    right predictions.
+    The temperature minimises the log loss of the validation rows, whose labels count as right but for one row in all (so that
+    rows without an error do not drive it to 0); predictions are rejected below the margin that KEEP_RIGHT of the right
+    validation predictions exceed.
     """
     languages = sorted(set(labels))
     if not languages:
@@ -98,9 +110,14 @@ def train(counts: np.ndarray, labels: list[str]) -> Model:
     if len(held):
         z, t = x[held] @ table_, y[held]
         at = np.arange(len(held))
-        temperature = min((float(np.mean(-np.log(_softmax(z / c)[at, t] + 1e-12))), c) for c in np.geomspace(0.1, 10, 41))[1]
-        p = _softmax(z / temperature)
-        right = p.max(1)[p.argmax(1) == t]
+        doubt = 1 / (len(held) + 2)
+
+        def loss(c: float) -> float:
+            p = np.log(_softmax(z / c) + 1e-12)
+            return float(np.mean(-(1 - doubt) * p[at, t] - doubt * p.mean(1)))
+
+        temperature = min((loss(c), c) for c in np.geomspace(0.1, 100, 61))[1]
+        right = _margins(z / temperature)[z.argmax(1) == t]
         threshold = float(np.quantile(right, 1 - KEEP_RIGHT)) if len(right) else 0.0
     return Model(languages, table_, temperature, threshold)
 
@@ -113,22 +130,26 @@ def fit_language(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Mo
     """A model from a bounded sample of the rows with a language and crc32(doc_id) mod 5 other than 0.
 
     The sample is the ``per_language`` rows of each language with the smallest hash of their id; it comes to
-    the driver as subword counts. A task sends at most that many ids of a language (the limit of the ranking
+    the driver as the subword counts that are not 0, about SAMPLE rows in all.  A task sends at most that many ids of a language (the limit of the ranking
     is applied before its shuffle), so a language with most of the rows is no hot key.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(_remainder(), F.lit(0)) != 0))
+    per_language = min(per_language, max(1, SAMPLE // max(1, rows.select("lang").distinct().count())))
     rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = rows.select("doc_id", "lang").withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= per_language).select("doc_id", "lang").distinct()
 
     def run(batches):
         for batch in batches:
             got = [subword_counts(x) for x in batch.column(1).to_pylist()]
-            yield {"lang": batch.column(0), "counts": [x.astype("<u4").tobytes() for x in got]}
+            used = [np.flatnonzero(x) for x in got]
+            yield {"lang": batch.column(0), "at": [i.astype("<u2").tobytes() for i in used], "counts": [x[i].astype("<u4").tobytes() for x, i in zip(got, used)]}
 
     chosen = rows.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")  # at most per_language ids of each language
-    sample = arrow_map(chosen.select("lang", F.col("text").cast("binary").alias("raw")), run, "lang string, counts binary").collect()
-    sample.sort(key=lambda r: (r.lang, bytes(r.counts)))
-    counts = np.array([np.frombuffer(r.counts, "<u4") for r in sample], np.float32).reshape(-1, BUCKETS)
+    sample = arrow_map(chosen.select("lang", F.col("text").cast("binary").alias("raw")), run, "lang string, at binary, counts binary").collect()
+    sample.sort(key=lambda r: (r.lang, bytes(r.at), bytes(r.counts)))
+    counts = np.zeros((len(sample), BUCKETS), np.float32)
+    for i, r in enumerate(sample):
+        counts[i, np.frombuffer(r.at, "<u2")] = np.frombuffer(r.counts, "<u4")
     return train(counts, [r.lang for r in sample])
 
 
@@ -137,7 +158,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     A null text, a text without letters, or a model without languages gives ``und``, score 0, not accepted.
     ``accepted`` is false where the calibrated confidence is below the model's threshold. A null doc_id counts
-    as held out. Very short texts are predicted from what they have. Only the whole text is an input.
+    as held out. Very short texts are predicted from what they have, very long ones from all of it. Only the whole text is an input.
+    Of equal logits the first language by name wins. Repeated rows, and rows that share a doc_id, are predicted each. An empty
+    table gives no rows. Extra columns are ignored.
     """
 
     def run(batches):
