@@ -63,9 +63,9 @@ TEMPLATES = {
 #: Templates of short notices share the label before the suffix.
 SUFFIX = "-notice"
 
-#: A file is looked up by so many of its rarest licence words per template ...
+#: The postings hold so many of the rarest words of each template, by which a file is looked up ...
 RARE_WORDS = 8
-#: ... and an alignment needs this part of the looked-up weight of the template.
+#: ... and an alignment needs this part of the weight of all the template's words.
 MIN_COVER = 0.6
 
 _FOLD = bytes(
@@ -86,27 +86,38 @@ class Index:
         self.must = {name: [b" " + p.encode() + b" " for p in phrases] for name, (_, phrases) in templates.items()}
         vocabulary = {w for ws in self.words.values() for w in ws}
         self.idf = {w: math.log((1 + n_docs) / (1 + df.get(w, 0))) + 1e-6 for w in vocabulary}
+        self.code = {w: i for i, w in enumerate(sorted(vocabulary))}
+        self.coded = {name: np.array([self.code[w] for w in ws]) for name, ws in self.words.items()}
+        self.weights = {name: np.array([self.idf[w] for w in ws]) for name, ws in self.words.items()}
         self.post: dict[bytes, list[tuple[str, int]]] = defaultdict(list)
-        self.weight = {}
         for name, ws in self.words.items():
-            rare = sorted(set(ws), key=lambda w: (-self.idf[w], w))[:RARE_WORDS]
-            spots = [(w, i) for i, w in enumerate(ws) if w in rare]
-            self.weight[name] = sum(self.idf[w] for w, _ in spots)
-            for w, i in spots:
-                self.post[w].append((name, i))
+            rare = set(sorted(set(ws), key=lambda w: (-self.idf[w], w))[:RARE_WORDS])  # of equally rare words the first by name
+            for i, w in enumerate(ws):
+                if w in rare:
+                    self.post[w].append((name, i))
 
     def match(self, words: list[bytes], joined: bytes) -> dict[str, float]:
-        """Template -> share of its rare weight met at one relative position, for templates whose key phrases all stand in the file."""
+        """Template -> the share of its whole weight that stands at one relative position, for templates whose key phrases all stand in the file."""
         if self.post.keys().isdisjoint(words):
             return {}
-        votes: dict[tuple[str, int], float] = Counter()
+        shifts: dict[str, set[int]] = defaultdict(set)
         for at, w in enumerate(words):
             for name, i in self.post.get(w, ()):
-                votes[name, at - i] += self.idf[w]
-        best: dict[str, float] = {}
-        for (name, _), v in votes.items():
-            best[name] = max(best.get(name, 0.0), v / self.weight[name])
-        return {n: min(1.0, c) for n, c in best.items() if c >= MIN_COVER and all(p in joined for p in self.must[n])}
+                shifts[name].add(at - i)
+        coded = np.fromiter((self.code.get(w, -1) for w in words), np.int64, len(words))
+        out = {}
+        for name, at in shifts.items():
+            if not all(p in joined for p in self.must[name]):
+                continue
+            start, got = np.fromiter(at, np.int64, len(at)), np.zeros(len(at))
+            for i, (c, weight) in enumerate(zip(self.coded[name].tolist(), self.weights[name].tolist())):
+                place = start + i
+                inside = (place >= 0) & (place < len(coded))
+                got += weight * (inside & (coded[np.where(inside, place, 0)] == c))
+            cover = float(got.max() / self.weights[name].sum())
+            if cover >= MIN_COVER:
+                out[name] = min(1.0, cover)
+        return out
 
 
 def base_places(joined: bytes) -> tuple[list[int], set[str]]:
@@ -114,9 +125,11 @@ def base_places(joined: bytes) -> tuple[list[int], set[str]]:
     places, labels = [], set()
     for phrase, label in BASE.items():
         needle = b" " + phrase.encode() + b" "
-        at = joined.find(needle)
+        at, before, word = joined.find(needle), 0, 0
         while at >= 0:
-            places.append(joined.count(b" ", 0, at))
+            word += joined.count(b" ", before, at)
+            before = at
+            places.append(word)
             labels.add(label)
             at = joined.find(needle, at + 1)
     return places, labels
@@ -145,11 +158,12 @@ def licence_scan(docs: DataFrame, templates: dict = TEMPLATES) -> DataFrame:
     """One row per row of ``docs``: n_words, base places and labels, all labels and a score.
 
     Two passes over all whole texts: document frequencies of the licence words, then for each file its
-    highest-IDF licence words are looked up in the templates' positional postings; a template whose rare words
-    meet at one relative position with MIN_COVER of their weight, and whose key phrases all stand in the file,
-    adds its label. score is the largest cover, 1 where a base phrase stands, 0 without labels.
+    licence words of the highest IDF are looked up in the templates' positional postings; a template of which one relative
+    position that they give holds MIN_COVER of the weight of all words, and whose key phrases all stand in the file, adds
+    its label. score is the largest cover, 1 where a base phrase stands, 0 without labels.
 
-    A null or empty text has no words, places or labels ('' and score 0). Repeated rows are scanned each.
+    A null or empty text has no words, places or labels ('' and score 0). Very long texts are scanned whole, in linear time.
+    Equally good positions give the same label. Repeated rows, and rows that share a doc_id, are scanned each.
     An empty table gives no rows. Extra columns are ignored.
     """
     df, n = word_frequencies(docs, {w for text, _ in templates.values() for w in words_of(text.encode())})
