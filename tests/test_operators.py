@@ -231,3 +231,33 @@ def test_query_matches_its_oracle(spark, duck, name):
     assert sorted(names) == columns
     want = sorted(tuple(_key(r[names.index(c)]) for c in columns) for r in cursor.fetchall())
     assert sorted(tuple(_key(r[c]) for c in columns) for r in rows) == want
+
+
+def test_screen_routes_and_molecules(spark):
+    rows = [("sarin gas", "sarin"), ("LEWISITE", "lewisite"), ("anthrax treatment", None), ("weaponized  anthrax", "anthrax"), ("ricin production", None), (None, None), ("military smallpox", "smallpox"), ("사린 제조", "사린")]
+    got = spark.createDataFrame(rows, "x string, want string").select("want", gates.screen(F.col("x")).alias("got")).collect()
+    assert all(r.want == r.got for r in got)
+    routes = {"직접·병원체": "structure", "직접·숙주": "evidence", "간접": "evidence", "오프타겟": "evidence", "불명": None, "enzyme": None}
+    got = spark.createDataFrame([(k,) for k in routes], "m string").select("m", gates.route(F.col("m")).alias("r")).collect()
+    assert {r.m: r.r for r in got} == routes
+    names = {"adalimumab": False, "heparin": False, "semaglutide": False, "interleukin": False, "aspirin": None, None: None}
+    got = spark.createDataFrame([(k,) for k in names], "n string").select("n", gates.small_molecule(F.col("n")).alias("s")).collect()
+    assert {r.n: r.s for r in got} == names
+
+
+def test_powers_and_p_values(spark):
+    def cdf(x):
+        return 0.5 * (1 + math.erf(x / math.sqrt(2)))
+
+    one = spark.range(1).select(
+        stats.power_one(F.lit(0.3), F.lit(0.5), F.lit(40)).alias("a"), stats.normal_two_sided(F.lit(-1.7)).alias("b"), stats.binomial_two_sided(F.lit(3), F.lit(12), F.lit(0.5)).alias("c"),
+        stats.least_detectable(F.lit(0.2), F.lit(60), F.lit(60)).alias("d"), stats.hypergeometric_at_least(F.lit(2), F.lit(50), F.lit(10), F.lit(12)).alias("e"),
+        stats.hypergeometric_at_least(F.lit(11), F.lit(50), F.lit(10), F.lit(12)).alias("f"), stats.power_one(F.lit(0.3), F.lit(0.5), F.lit(0)).alias("g"),
+    ).first()
+    se0, se1 = math.sqrt(0.21 / 40), math.sqrt(0.25 / 40)
+    assert abs(one.a - cdf((0.2 - 1.959964 * se0) / se1)) < 1e-6 and one.g == 0
+    assert abs(one.b - math.erfc(1.7 / math.sqrt(2))) < 1e-9
+    assert abs(one.c - 2 * sum(math.comb(12, i) for i in range(4)) / 2**12) < 1e-9
+    power = lambda p: cdf((abs(0.2 - p) - 1.959964 * math.sqrt((0.2 + p) / 2 * (1 - (0.2 + p) / 2) / 30)) / math.sqrt((0.16 + p * (1 - p)) / 60))
+    assert abs(one.d - next(0.2 + i * 0.005 for i in range(1, 161) if power(0.2 + i * 0.005) >= 0.8)) < 1e-9
+    assert abs(one.e - sum(math.comb(10, i) * math.comb(40, 12 - i) for i in range(2, 11)) / math.comb(50, 12)) < 1e-9 and one.f == 0

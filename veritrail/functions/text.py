@@ -215,14 +215,37 @@ def hash_bucket(c: Column, modulus: int = 1000) -> Column:
 
 def subject_key(c: Column) -> Column:
     """A drug's key: no parentheses, no salts, digits or dose words; the whole name if nothing is left."""
+    # Salts and forms of a compound.
     salts = [
-        "hydrochloride", "sodium", "acetate", "sulfate", "phosphate", "potassium", "citrate", "maleate", "mesylate", "tartrate", "fumarate", "succinate", "calcium",
+        "hydrochloride", "hcl", "hydrobromide", "sodium", "disodium", "potassium", "calcium", "magnesium", "sulfate", "sulphate", "phosphate", "diphosphate", "acetate", "citrate", "tartrate",
+        "bitartrate", "maleate", "mesylate", "mesilate", "besylate", "besilate", "fumarate", "hemifumarate", "succinate", "tosylate", "bromide", "chloride", "nitrate", "oxalate", "malate",
+        "lactate", "gluconate", "carbonate", "pamoate", "palmitate", "propionate", "valerate", "dipropionate", "furoate", "xinafoate", "trihydrate", "dihydrate", "monohydrate", "hydrate",
+        "anhydrous", "salt", "base", "free",
     ]
     words = F.regexp_extract_all(F.lower(F.regexp_replace(c, r"\([^)]*\)", " ")), F.lit("[a-z0-9]+"), F.lit(0))
     kept = F.filter(words, lambda w: ~w.isin(*salts) & ~w.rlike(r"^\d+(mg|mcg|g|ml)?$") & ~w.isin("mg", "mcg", "g", "ml"))
     return F.when(F.size(kept) > 0, F.array_join(kept, "")).otherwise(F.array_join(words, ""))
 
 
+# The mark before the results of the primary outcome, and the names of study types.
+OUTCOME_MARK = "[1차 평가변수 결과]"
+STUDY_NAMES = {"meta": "메타분석", "rct": "RCT", "trial": "임상시험", "observational": "관찰연구", "review": "고찰", "in_vitro": "시험관", "case": "증례"}
+
+
+def in_outcome(quote: Column, document: Column) -> Column:
+    """Whether a quote stands, but for case and spaces, in the part of a document after the outcome mark."""
+    at = F.instr(document, OUTCOME_MARK)
+    body = F.substring(document, at + F.lit(len(OUTCOME_MARK)), F.length(document))
+    return F.coalesce((fold(quote) != "") & (at > 0) & F.contains(fold(body), fold(quote)), F.lit(False))
+
+
+def source_tag(journal: Column, year: Column, pmid: Column, kind: Column, direction: Column) -> Column:
+    """What a record is shown as: journal and year, else its id, then the study's name and the side."""
+    head = F.concat_ws(" ", F.when(journal != "", journal), F.when(year > 0, year.cast("string")))
+    name = F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in STUDY_NAMES.items()], F.lit("기타"))
+    return F.concat(F.when(head != "", head).otherwise(F.concat(F.lit("PMID "), pmid.cast("string"))), F.lit(" "), name, F.when(direction == "support", "(지지)").otherwise("(반박)"))
+
+
 def query_terms(c: Column) -> Column:
     """A search term: no parentheses, no category after a dash, no punctuation."""
     out = F.regexp_replace(c, r"\([^)]*\)", " ")

@@ -40,32 +40,33 @@ def trail(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, F.explode("trail").alias("t")).select(*keys, "t.*")
 
 
-# Terms that stop a run, and terms that stop it in a context of doing.
-BLOCKED = ["nerve agent", "sarin", "weaponize", "weaponise", "bioweapon"]
-CONTEXT_BOUND, CONTEXT = ["anthrax", "ricin", "botulinum"], r"(?i)(synthes|produc|enhance|aerosol)"
+# Agents that stop a run, agents that stop it in a context of weapons, and that context.
+BLOCKED = [
+    "sarin", "soman", "tabun", "cyclosarin", "vx nerve", "novichok", "sulfur mustard", "sulphur mustard", "nitrogen mustard gas", "lewisite", "phosgene oxime", "tear gas agent",
+    "chlorine gas weapon", "사린", "소만", "타분", "노비촉", "겨자가스", "루이사이트", "신경작용제",
+]
+CONTEXT_BOUND = ["anthrax", "botulinum toxin", "ricin", "smallpox", "variola", "탄저", "보툴리눔", "리신", "두창"]
+CONTEXT = r"(?i)weapon|aerosoliz|militar|warfare|무기|살포|에어로졸화|대량살상"
 
 
 def screen(c: Column) -> Column:
-    """The first blocked term of a text; null if it passes."""
-    low = F.lower(F.coalesce(c, F.lit("")))
+    """The first blocked term of a text; null if it passes. Research on a disease passes, a weapon's context does not."""
+    low = F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
     always = [F.when(low.contains(w), F.lit(w)) for w in BLOCKED]
     bound = [F.when(low.contains(w) & low.rlike(CONTEXT), F.lit(w)) for w in CONTEXT_BOUND]
     return F.coalesce(*always, *bound)
 
 
-# Mechanism classes and their routes.
-ROUTES = {"pathogen": "structure", "enzyme": "structure", "receptor": "evidence", "immune": "evidence", "metabolic": "evidence"}
+# Mechanism classes and their routes; an unknown mechanism has none.
+ROUTES = {"직접·병원체": "structure", "직접·숙주": "evidence", "간접": "evidence", "오프타겟": "evidence", "불명": None}
 
 
 def route(mechanism: Column) -> Column:
-    out = F.lit("evidence")
-    for k, v in ROUTES.items():
-        out = F.when(mechanism == k, v).otherwise(out)
-    return out
+    return F.coalesce(*[F.when(mechanism == k, F.lit(v)) for k, v in ROUTES.items() if v])
 
 
 def docking_advised(mechanism: Column, confidence: Column, has_target: Column) -> Column:
-    return (route(mechanism) == "structure") & (confidence != "low") & has_target
+    return F.coalesce(route(mechanism) == "structure", F.lit(False)) & (confidence != "low") & has_target
 
 
 def binding_verdict(best: Column) -> Column:
@@ -96,9 +97,20 @@ def transient(message: Column) -> Column:
     return F.coalesce(message.rlike(r"(?i)timeout|timed out|temporar|rate limit|429|502|503|connection"), F.lit(False))
 
 
-def small_molecule(name: Column) -> Column:
-    """False for the suffixes of biologics, true else; null for an unknown name."""
-    return F.when(F.trim(F.coalesce(name, F.lit(""))) != "", ~F.lower(name).rlike(r"(mab|cept|kinra|stim|ase|gene|cel)$"))
+# Name endings of biologics.
+BIOLOGIC = ["mab", "cept", "ase", "kin", "ximab", "zumab", "tide", "parin", "poetin", "grastim", "gene", "cel"]
+
+
+def small_molecule(name: Column, molecule_type: Column | None = None) -> Column:
+    """False for the endings of biologics, else what a molecule type says; null if nothing is known."""
+    ends = F.lower(F.trim(name)).rlike(f"({'|'.join(BIOLOGIC)})$")
+    known = F.lit(None).cast("boolean") if molecule_type is None else F.lower(molecule_type) == "small molecule"
+    return F.when(F.coalesce(ends, F.lit(False)), F.lit(False)).otherwise(known)
+
+
+def approved(max_phase: Column) -> Column:
+    """Whether the highest phase is 4; null if it is unknown or no number."""
+    return max_phase.cast("string").try_cast("double").cast("int") == 4
 
 
 def leak_flag(answer: Column, label: Column, confidence: Column) -> Column:

@@ -5,9 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Phases by rank, and adjunct therapies that are no treatment of their own.
+# Phases by rank, adjunct therapies that are no treatment of their own, and salts under which they are named too.
 PHASES = {"Phase 3": 4, "Phase 2/Phase 3": 3, "Phase 2": 2, "Phase 1/Phase 2": 1, "Phase 1": 0, "Early Phase 1": 0, "NA": -1}
-ADJUNCT = ["leucovorin", "folinic acid", "levoleucovorin", "mesna", "dexrazoxane"]
+ADJUNCT = [
+    "leucovorin", "folinic acid", "levoleucovorin", "mesna", "dexrazoxane", "amifostine", "filgrastim", "pegfilgrastim", "sargramostim", "epoetin alfa", "darbepoetin alfa", "ondansetron",
+    "granisetron", "palonosetron", "aprepitant", "dexamethasone", "prednisone", "prednisolone", "diphenhydramine", "ranitidine", "famotidine", "allopurinol", "rasburicase", "heparin", "saline",
+    "water", "glucose", "dextrose", "sodium chloride", "lidocaine", "midazolam", "propofol", "fentanyl", "morphine", "acetaminophen", "paracetamol", "ibuprofen", "aspirin", "vitamin d",
+    "calcium carbonate", "folic acid", "cyanocobalamin", "oxygen", "nitrous oxide", "ethanol", "alcohol",
+]
+SALTS = [
+    "phosphate", "sodium", "succinate", "acetate", "hydrochloride", "hcl", "sulfate", "sulphate", "citrate", "tartrate", "maleate", "mesylate", "besylate", "fumarate", "palmitate", "valerate",
+    "propionate",
+]
 MONTHS, ENROLLED = (6, 36), 50
 
 
@@ -18,6 +27,12 @@ def phase_rank(c: Column) -> Column:
     return out
 
 
+def adjunct(drug: Column) -> Column:
+    """Whether a drug only helps another treatment, with or without a salt's name."""
+    name = F.lower(F.trim(drug))
+    return F.coalesce(name.isin(*ADJUNCT) | F.regexp_replace(name, f" ({'|'.join(SALTS)})$", "").isin(*ADJUNCT), F.lit(False))
+
+
 def first_reason(rules: list[tuple[str, Column]]) -> Column:
     """The first rule's name that holds; null if none does. A row is usable if its reason is null."""
     return F.coalesce(*[F.when(c, F.lit(name)) for name, c in rules])

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import evidence, graph, labels, metrics, text
+from . import audit, evidence, graph, labels, metrics, text
 from .schemas import SCHEMAS
 
-_MODULES = (evidence, text, labels, graph, metrics)
+_MODULES = (evidence, text, labels, graph, metrics, audit)
 _PLACES = 6
 
 

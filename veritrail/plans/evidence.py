@@ -129,7 +129,7 @@ sums AS (
     coalesce(sum(weight * pow(0.5::DOUBLE, k)) FILTER (NOT gone AND direction = 'support'), 0) AS w_support, coalesce(sum(weight * pow(0.5::DOUBLE, k)) FILTER (NOT gone AND direction = 'refute'), 0) AS w_refute,
     count(CASE WHEN NOT gone AND direction = 'support' AND {_FIRM} THEN 1 END) AS firm_support, count(CASE WHEN NOT gone AND direction = 'refute' AND {_FIRM} THEN 1 END) AS firm_refute,
     coalesce(sum(weight) FILTER (NOT gone AND direction = 'support' AND {_FIRM}), 0) AS firm_w_support, coalesce(sum(weight) FILTER (NOT gone AND direction = 'refute' AND {_FIRM}), 0) AS firm_w_refute,
-    0 AS hard_refute FROM ranked GROUP BY subject, object, removed, n
+    CASE WHEN count(CASE WHEN direction = 'refute' AND {_FIRM} AND decisive THEN 1 END) >= 2 AND count(CASE WHEN direction = 'support' AND {_FIRM} THEN 1 END) = 0 THEN 2 ELSE 0 END AS hard_refute FROM ranked GROUP BY subject, object, removed, n
 )"""
 
 

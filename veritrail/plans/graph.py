@@ -26,7 +26,7 @@ def q_degree_z(spark, d):
 
 def q_hypergeom(spark, d):
     cg, gd, cd = t.edges(spark, d)
-    return graph.hypergeometric(graph.degree_scores(cg, gd, cd), cg, gd).select("d", "c", "shared", "marked", "n", F.round("p", 9).alias("p"))
+    return graph.hypergeometric(graph.degree_scores(cg, gd, cd), cg, gd).select("d", "c", "shared", "marked", "n", "p")
 
 
 def _hidden(cd):
@@ -153,7 +153,7 @@ ORACLES = {
     "q_hypergeom": f"""{_SCORED}, genes AS (SELECT DISTINCT g FROM cg), mk AS (SELECT d, count(*) AS marked FROM gd JOIN genes USING (g) GROUP BY d), keys AS (SELECT DISTINCT shared, marked, n FROM scored JOIN mk USING (d)),
         terms AS (SELECT shared, marked, n, unnest(range(shared, least(marked, n) + 1)) AS i, (SELECT count(*) FROM genes) AS pop FROM keys),
         p AS (SELECT shared, marked, n, least(1, sum(CASE WHEN n - i <= pop - marked THEN exp({_LC.format('marked', 'i')} + {_LC.format('(pop - marked)', '(n - i)')} - {_LC.format('pop', 'n')}) ELSE 0 END)) AS p FROM terms GROUP BY ALL)
-        SELECT d, c, shared, marked, n, round(p, 9) AS p FROM scored JOIN mk USING (d) JOIN p USING (shared, marked, n)""",
+        SELECT d, c, shared, marked, n, p FROM scored JOIN mk USING (d) JOIN p USING (shared, marked, n)""",
     "q_recall_at_k": f"""{_SCORED.replace('(d, c) NOT IN (SELECT (d, c) FROM cd)', '(d, c) NOT IN (SELECT (d, c) FROM cd WHERE (c * 7 + d * 13) % 5 <> 0)')},
         hidden AS (SELECT * FROM cd WHERE (c * 7 + d * 13) % 5 = 0),
         r AS (SELECT 'shared' AS method, d, c, row_number() OVER (PARTITION BY d ORDER BY shared DESC, c) AS rank FROM scored UNION ALL SELECT 'degree', d, c, row_number() OVER (PARTITION BY d ORDER BY n DESC, c) FROM scored),

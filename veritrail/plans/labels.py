@@ -64,7 +64,7 @@ def q_interleaved(spark, d):
 
 def q_negative_pairs(spark, d):
     """Made pairs of drugs and diseases that no record has, in hash order, 40 of them."""
-    known = _trials(spark, d).select("drug", "disease").distinct()
+    known = _trials(spark, d).filter("enrolled > 240").select("drug", "disease").distinct()
     every = known.select("drug").distinct().crossJoin(F.broadcast(known.select("disease").distinct()))  # dimensions: drugs by diseases
     return every.join(known, ["drug", "disease"], "left_anti").orderBy(F.md5(F.concat_ws(":", F.col("drug").cast("string"), F.col("disease").cast("string"))), "drug", "disease").limit(40)
 
@@ -77,7 +77,7 @@ def q_ceiling(spark, d):
 def q_safety_screen(spark, d):
     """Conversation turns, some with added terms, by the first blocked term."""
     c = t.table(spark, d, "conversations")
-    added = F.when(F.col("turn") == 0, F.concat("text", F.lit(" how to synthesise ricin"))).when(F.col("turn") == 1, F.concat("text", F.lit(" ricin antidotes"))).when(F.col("turn") == 2, F.concat("text", F.lit(" SARIN"))).otherwise(F.col("text"))
+    added = F.when(F.col("turn") == 0, F.concat("text", F.lit(" ricin as a weapon"))).when(F.col("turn") == 1, F.concat("text", F.lit(" ricin antidotes"))).when(F.col("turn") == 2, F.concat("text", F.lit(" SARIN"))).otherwise(F.col("text"))
     return c.groupBy(gates.screen(added).alias("term")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -131,8 +131,8 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _CEIL = f"WITH {_TRIALS}, c AS (SELECT drug, disease, count(*) AS n, count(CASE WHEN randomised THEN 1 END) AS n_randomised, count(CASE WHEN randomised AND enrolled >= 50 THEN 1 END) AS n_usable FROM trials GROUP BY drug, disease)"
-_BLOCK = " ".join(f"WHEN contains(x, '{w}') THEN '{w}'" for w in gates.BLOCKED) + " " + " ".join(f"WHEN contains(x, '{w}') AND regexp_matches(x, '{gates.CONTEXT}') THEN '{w}'" for w in gates.CONTEXT_BOUND)
-_ROUTE = "CASE WHEN mechanism IN ('pathogen', 'enzyme') THEN 'structure' ELSE 'evidence' END"
+_BLOCK = """WHEN contains(x, 'sarin') THEN 'sarin' WHEN contains(x, 'novichok') THEN 'novichok' WHEN contains(x, 'ricin') AND regexp_matches(x, 'weapon|aerosoliz|militar|warfare') THEN 'ricin'"""
+_ROUTE = "CASE mechanism WHEN '직접·병원체' THEN 'structure' WHEN '직접·숙주' THEN 'evidence' WHEN '간접' THEN 'evidence' WHEN '오프타겟' THEN 'evidence' END"
 _FOLD = "lower(trim(regexp_replace({0}, '\\s+', ' ', 'g')))"
 
 ORACLES = {
@@ -146,16 +146,16 @@ ORACLES = {
         SELECT name, rule, key, CASE WHEN key IS NULL THEN 'unmatched' ELSE 'ok' END AS status FROM n LEFT JOIN h USING (name)""",
     "q_stratified_sample": f"""WITH {_TRIALS}, r AS (SELECT kind, ord, row_number() OVER (PARTITION BY kind ORDER BY enrolled DESC, ord) AS place FROM trials) SELECT kind, ord, place FROM r WHERE place <= CASE kind WHEN 'efficacy' THEN 30 ELSE 10 END""",
     "q_interleaved": f"""WITH {_TRIALS}, l AS (SELECT drug, ord AS id, CASE kind WHEN 'safety' THEN 0 ELSE 1 END AS prio FROM trials) SELECT drug, id, prio, row_number() OVER (PARTITION BY drug ORDER BY prio, id) AS place FROM l QUALIFY place <= 8""",
-    "q_negative_pairs": f"""WITH {_TRIALS}, k AS (SELECT DISTINCT drug, disease FROM trials) SELECT a.drug, b.disease FROM (SELECT DISTINCT drug FROM k) a, (SELECT DISTINCT disease FROM k) b
+    "q_negative_pairs": f"""WITH {_TRIALS}, k AS (SELECT DISTINCT drug, disease FROM trials WHERE enrolled > 240) SELECT a.drug, b.disease FROM (SELECT DISTINCT drug FROM k) a, (SELECT DISTINCT disease FROM k) b
         WHERE (a.drug, b.disease) NOT IN (SELECT (drug, disease) FROM k) ORDER BY md5(a.drug || ':' || b.disease), 1, 2 LIMIT 40""",
     "q_ceiling": f"{_CEIL} SELECT * FROM c",
-    "q_safety_screen": f"""WITH a AS (SELECT lower(CASE turn WHEN 0 THEN text || ' how to synthesise ricin' WHEN 1 THEN text || ' ricin antidotes' WHEN 2 THEN text || ' SARIN' ELSE text END) AS x FROM conversations)
+    "q_safety_screen": f"""WITH a AS (SELECT lower(CASE turn WHEN 0 THEN text || ' ricin as a weapon' WHEN 1 THEN text || ' ricin antidotes' WHEN 2 THEN text || ' SARIN' ELSE text END) AS x FROM conversations)
         SELECT CASE {_BLOCK} END AS term, count(*) AS n FROM a GROUP BY term""",
     "q_gate_trail": f"""{_CEIL}, g AS (SELECT *, CASE WHEN n >= 2 THEN 'PASS' ELSE 'KILL' END AS o1, CASE WHEN n < 2 THEN 'SKIP' WHEN n_randomised > 0 THEN 'PASS' ELSE 'FLAG' END AS o2, CASE WHEN n < 2 THEN 'SKIP' WHEN n_usable > 0 THEN 'PASS' ELSE 'KILL' END AS o3,
         CASE WHEN n < 2 OR n_usable = 0 THEN 'SKIP' ELSE 'DONE' END AS o4 FROM c), u AS (SELECT 'existence' AS gate, o1 AS outcome FROM g UNION ALL SELECT 'randomised', o2 FROM g UNION ALL SELECT 'size', o3 FROM g UNION ALL SELECT 'review', o4 FROM g)
         SELECT gate, outcome, count(*) AS n FROM u GROUP BY ALL""",
-    "q_router": f"""WITH p AS (SELECT p_partkey, {str([*gates.ROUTES, 'other'])}[p_size % 6 + 1] AS mechanism, p_retailprice > 1200 AS high FROM part)
-        SELECT mechanism, {_ROUTE} AS route, {_ROUTE} = 'structure' AND high AND p_partkey > 5 AS advised, count(*) AS n FROM p GROUP BY ALL""",
+    "q_router": f"""WITH p AS (SELECT p_partkey, ['직접·병원체', '직접·숙주', '간접', '오프타겟', '불명', 'other'][p_size % 6 + 1] AS mechanism, p_retailprice > 1200 AS high FROM part)
+        SELECT mechanism, {_ROUTE} AS route, coalesce({_ROUTE} = 'structure', false) AND high AND p_partkey > 5 AS advised, count(*) AS n FROM p GROUP BY ALL""",
     "q_binding": """WITH a AS (SELECT l_partkey, l_suppkey, l_quantity / 6 AS x FROM lineitem), g AS (SELECT l_partkey, max(x) AS best, arg_min(l_suppkey, (-x, l_suppkey)) AS target, count(*) AS n, median(x) AS middle FROM a GROUP BY l_partkey)
         SELECT l_partkey, round(best, 9) AS best, target, n, round(middle, 9) AS middle, CASE WHEN best >= 7 THEN 'strong' WHEN best >= 5 THEN 'weak' ELSE 'none' END AS verdict FROM g""",
     "q_interval_cover": """WITH r AS (SELECT DISTINCT s_nationkey, s_suppkey % 50 + 1 AS lo, s_suppkey % 50 + 6 AS hi FROM supplier), p AS (SELECT DISTINCT s_nationkey, x FROM r, range(1, 61) t(x) WHERE x BETWEEN lo AND hi)

@@ -89,7 +89,7 @@ def q_reject_precision(spark, d):
 
 
 def q_kappa(spark, d):
-    return metrics.kappa(_scored(spark, d), "verdict_a", "verdict_b").select("n_all", *[F.round(c, 9).alias(c) for c in ("observed", "expected", "kappa")])
+    return metrics.kappa(_scored(spark, d), "verdict_a", "verdict_b").select("n_all", *[F.round(c, 9).alias(c) for c in ("observed", "expected", "kappa", "lo", "hi")])
 
 
 def q_mcnemar_counts(spark, d):
@@ -252,7 +252,7 @@ ORACLES = {
     "q_reject_precision": f"""{_S}, o AS (SELECT y, row_number() OVER (ORDER BY score_b, id) AS r FROM s) SELECT k::INT AS k, count(*) AS n, round(sum(1 - y) / k::DOUBLE, 9) AS precision FROM o, (SELECT unnest([10, 20, 50, 100]) AS k) WHERE r <= k GROUP BY k""",
     "q_kappa": f"""{_S}, c AS (SELECT verdict_a AS x, verdict_b AS z, count(*) AS n FROM s GROUP BY ALL), a AS (SELECT x, sum(n) AS na FROM c GROUP BY x), b AS (SELECT z, sum(n) AS nb FROM c GROUP BY z),
         t AS (SELECT sum(n) AS n_all, sum(n) FILTER (x = z) / sum(n)::DOUBLE AS po FROM c), e AS (SELECT sum(na * nb) / (SELECT n_all * n_all FROM t)::DOUBLE AS pe FROM a JOIN b ON x = z)
-        SELECT n_all::BIGINT AS n_all, round(po, 9) AS observed, round(pe, 9) AS expected, round((po - pe) / (1 - pe), 9) AS kappa FROM t, e""",
+        SELECT n_all::BIGINT AS n_all, round(po, 9) AS observed, round(pe, 9) AS expected, round((po - pe) / (1 - pe), 9) AS kappa, greatest(-1, (po - pe) / (1 - pe) - 1.96 * sqrt(po * (1 - po) / (n_all * (1 - pe) * (1 - pe)))) AS lo, least(1, (po - pe) / (1 - pe) + 1.96 * sqrt(po * (1 - po) / (n_all * (1 - pe) * (1 - pe)))) AS hi FROM t, e""",
     "q_mcnemar_counts": f"""{_S}, r AS (SELECT (score_a > 0.5)::INT = y AS a, (score_b > 0.5)::INT = y AS b FROM s), c AS (SELECT count(CASE WHEN a AND b THEN 1 END) AS both, count(CASE WHEN a AND NOT b THEN 1 END) AS only_a, count(CASE WHEN NOT a AND b THEN 1 END) AS only_b, count(CASE WHEN NOT a AND NOT b THEN 1 END) AS neither FROM r)
         SELECT "both", only_a, only_b, neither, round(CASE WHEN only_a + only_b = 0 THEN 1 ELSE least(1, 2 * (SELECT sum(exp({_LC.format('(only_a + only_b)', 'i')} - (only_a + only_b) * ln(2))) FROM range(0, least(only_a, only_b) + 1) x(i))) END, 9) AS p FROM c""".replace("AS both", 'AS "both"'),
     "q_fisher": f"""{_S}, g AS (SELECT source, count(CASE WHEN toxic = 1 AND y = 1 THEN 1 END) AS a, count(CASE WHEN toxic = 1 AND y = 0 THEN 1 END) AS b, count(CASE WHEN toxic = 0 AND y = 1 THEN 1 END) AS c, count(CASE WHEN toxic = 0 AND y = 0 THEN 1 END) AS d FROM s GROUP BY source),
@@ -265,7 +265,7 @@ ORACLES = {
         SELECT source, p, round(least(1, max(step) OVER (ORDER BY r)), 9) AS adjusted FROM o""",
     "q_wilcoxon_ranks": f"""{_S}, d AS (SELECT round(score_a - score_b, 2) AS diff FROM s), r AS (SELECT diff, rank() OVER (ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY abs(diff)) - 1) / 2.0::DOUBLE AS r FROM d WHERE diff <> 0),
         w AS (SELECT count(*) AS n, coalesce(sum(r) FILTER (diff > 0), 0) AS w_plus, coalesce(sum(r) FILTER (diff < 0), 0) AS w_minus FROM r)
-        SELECT n, w_plus, w_minus, round(CASE WHEN n >= 6 THEN (abs(w_plus - n * (n + 1) / 4.0::DOUBLE) - 0.5) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::DOUBLE) END, 9) AS z FROM w""",
+        SELECT n, w_plus, w_minus, round(CASE WHEN n >= 6 THEN (least(w_plus, w_minus) - n * (n + 1) / 4.0::DOUBLE + 0.5) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::DOUBLE) END, 9) AS z FROM w""",
     "q_perf_card": f"""{_S}, e AS (SELECT *, unnest(list_filter(['all', CASE WHEN abs(score_a - 0.5) <= 0.15 THEN 'unknown' END, CASE WHEN toxic = 0 THEN 'clean' END], lambda x: x IS NOT NULL)) AS subset FROM s)
         SELECT subset, count(*) AS n, count(CASE WHEN y = 1 THEN 1 END) AS n_tp, count(CASE WHEN verdict_b = 'reject' THEN 1 END) AS n_reject, count(CASE WHEN verdict_b = 'reject' AND y = 0 THEN 1 END) / nullif(count(CASE WHEN verdict_b = 'reject' THEN 1 END), 0)::DOUBLE AS reject_precision,
           count(CASE WHEN verdict_b = 'reject' AND y = 0 THEN 1 END) / nullif(count(CASE WHEN y = 0 THEN 1 END), 0)::DOUBLE AS reject_recall, count(CASE WHEN verdict_b = 'reject' AND y = 1 THEN 1 END) / nullif(count(CASE WHEN y = 1 THEN 1 END), 0)::DOUBLE AS false_reject, count(CASE WHEN verdict_b = 'hold' THEN 1 END) / count(*)::DOUBLE AS hold_share FROM e GROUP BY subset""",

@@ -3,6 +3,28 @@
 from __future__ import annotations
 
 SCHEMAS = {
+    "q_ladder": "subject bigint, object string, verdict string, p bigint",
+    "q_faithfulness": "object string, n bigint, checked bigint, faithful bigint, made_up bigint, faithfulness double, faithfulness_lo double, faithfulness_hi double, relevance double, relevance_lo double, relevance_hi double",
+    "q_refute_recall": "object string, n bigint, with_refutation bigint, refutations bigint, by_skeptic bigint, skeptic_share double",
+    "q_false_negatives": "lang string, n bigint, n_valid bigint, rate double, rate_lo double, rate_hi double",
+    "q_time_to_refute": "run string, refuting double, total double, candidates bigint, per_candidate double",
+    "q_zero_ratio": "object string, zero bigint, total bigint, ratio double",
+    "q_universe_baseline": "label string, n bigint, expected double",
+    "q_use_signal": "n_evaluable bigint, n_unlinked bigint, n_hit bigint, n_tp bigint, tp_hit bigint, n_tn bigint, tn_hit bigint, most bigint, rate double, rate_lo double, rate_hi double, fisher_p double, decision string",
+    "q_fresh_ids": "subject bigint, id bigint, place bigint",
+    "q_top_sections": "conv_id bigint, turn bigint, place bigint",
+    "q_nearest_deadline": "o_custkey bigint, o_orderkey bigint, days bigint, place bigint",
+    "q_skeleton": "skeleton string, n bigint",
+    "q_structure_rank": "brand string, part bigint, place bigint",
+    "q_dock_verdict": "verdict string, n bigint",
+    "q_organism": "organism string, n bigint",
+    "q_accessibility": "eml boolean, oral_ok boolean, small boolean, n bigint",
+    "q_alerts": "herg string, dili string, n bigint",
+    "q_localized": "target string, kind string, chain string",
+    "q_in_outcome": "inside boolean, n bigint",
+    "q_source_tag": "tag string, n bigint",
+    "q_adjunct": "name string, adjunct boolean",
+    "q_mcnemar_power": "n bigint, psi double, power double",
     "q_weight": "study_type string, size string, decisive boolean, confidence string, review string, weight double, n bigint",
     "q_dedupe_trials": "subject bigint, object string, kept bigint, total double",
     "q_attenuate": "subject bigint, object string, direction string, n bigint, total double, attenuated double",
@@ -83,7 +105,7 @@ SCHEMAS = {
     "q_risk_at_coverage": "coverage double, k bigint, risk double",
     "q_tie_repeats": "mean double, sd double, repeats bigint",
     "q_reject_precision": "k bigint, n bigint, precision double",
-    "q_kappa": "n_all bigint, observed double, expected double, kappa double",
+    "q_kappa": "n_all bigint, observed double, expected double, kappa double, lo double, hi double",
     "q_mcnemar_counts": "both bigint, only_a bigint, only_b bigint, neither bigint, p double",
     "q_fisher": "source string, a bigint, b bigint, c bigint, d bigint, p double",
     "q_binomial": "source string, k bigint, n bigint, p double",

@@ -56,7 +56,7 @@ def q_mention_guard(spark, d):
 
 
 _STATEMENTS = """
-SELECT doc_id, concat(left(regexp_replace(text, '[^ -~]', 'x', 'g'), 60), CASE doc_id % 12
+SELECT doc_id, concat(regexp_replace(text, '[^ -~]', 'x', 'g'), CASE doc_id % 12
   WHEN 0 THEN ' treatment reduced mortality, hazard ratio 0.71' WHEN 1 THEN ' outcomes were measured using a scale'
   WHEN 2 THEN ' it may slightly reduce symptoms' WHEN 3 THEN ' probably improves survival' WHEN 4 THEN ' little or no difference was seen'
   WHEN 5 THEN ' terminated due to lack of efficacy' WHEN 6 THEN ' slow accrual and funding' WHEN 7 THEN ' stopped for hepatotoxicity'
@@ -73,7 +73,7 @@ def _statements(spark, d):
         " the comparator arm failed to show benefit", " overall survival was defined from entry", " nothing of note",
     ]
     tail = F.element_at(F.array(*[F.lit(x) for x in tails]), (c + 1).cast("int"))
-    return _docs(spark, d).select("doc_id", F.concat(F.left(F.regexp_replace("text", "[^ -~]", "x"), F.lit(60)), tail).alias("statement"))
+    return _docs(spark, d).select("doc_id", F.concat(F.regexp_replace("text", "[^ -~]", "x"), tail).alias("statement"))
 
 
 def q_result_statement(spark, d):
@@ -137,11 +137,11 @@ def q_tokens_subset_join(spark, d):
 
 
 def q_rare_token_join(spark, d):
-    """Per pair of name groups that only share words: whether a shared word is rare (at most 40 names)."""
+    """Per pair of name groups that only share words: whether a shared word is rare (at most 4000 names)."""
     n = _names(spark, d).filter(F.size("tokens") > 0)
     index = n.select("name", F.explode("tokens").alias("token"))
     freq = index.groupBy("token").agg(F.count(F.lit(1)).alias("f"))
-    rare = index.join(freq.filter("f <= 40"), "token")
+    rare = index.join(freq.filter("f <= 4000"), "token")
     one, two = rare.select(F.col("name").alias("a"), "token"), rare.select(F.col("name").alias("b"), "token")
     shared = one.join(two, "token").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_rare"))
     sets = n.select("name", "tokens")
@@ -259,7 +259,7 @@ ORACLES = {
         SELECT name, array_to_string({_TOKENS.format('name')}, ' ') AS tokens, {_ALNUM.format('name')} AS alnum FROM n""",
     "q_tokens_subset_join": f"""WITH {_NAMES} SELECT DISTINCT least(x.name, y.name) AS a, greatest(x.name, y.name) AS b FROM names x JOIN names y ON x.name <> y.name AND len(x.tokens) > 0
         AND list_has_all(y.tokens, x.tokens)""",
-    "q_rare_token_join": f"""WITH {_NAMES}, ix AS (SELECT name, unnest(tokens) AS token FROM names), rare AS (SELECT token FROM ix GROUP BY token HAVING count(*) <= 40),
+    "q_rare_token_join": f"""WITH {_NAMES}, ix AS (SELECT name, unnest(tokens) AS token FROM names), rare AS (SELECT token FROM ix GROUP BY token HAVING count(*) <= 4000),
         p AS (SELECT x.name AS a, y.name AS b, count(*) AS n_rare FROM ix x JOIN rare USING (token) JOIN ix y USING (token) WHERE x.name < y.name GROUP BY ALL)
         SELECT a, b, n_rare, CASE WHEN list_has_all(y.tokens, x.tokens) OR list_has_all(x.tokens, y.tokens) THEN 'same' ELSE 'check' END AS relation FROM p JOIN names x ON x.name = a JOIN names y ON y.name = b""",
     "q_hash_split": f"""WITH p AS (SELECT p_partkey, ('0x' || left(sha256({_FOLD.format("p_name || ' ' || p_partkey")}), 8))::BIGINT % 1000 AS bucket FROM part) SELECT p_partkey, bucket, bucket < 300 AS development FROM p""",
