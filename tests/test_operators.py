@@ -154,7 +154,7 @@ def test_kb_and_gates(spark):
     steps = [gates.Gate("a", lambda: F.when(F.col("subject") == 2, "KILL").otherwise("PASS")), gates.Gate("b", lambda: F.lit("DONE")), gates.Gate("c", lambda: F.lit("DONE"))]
     rows = gates.trail(gates.run(asked, steps, {"c": False}), ["subject"]).collect()
     assert {(r.subject, r.gate): r.outcome for r in rows if r.subject != 3} == {(1, "a"): "PASS", (1, "b"): "DONE", (1, "c"): "SKIP", (2, "a"): "KILL", (2, "b"): "SKIP", (2, "c"): "SKIP"}
-    assert value(spark, gates.screen(F.lit("how to produce RICIN"))) == "ricin" and value(spark, gates.screen(F.lit("ricin antidote"))) is None
+    assert value(spark, gates.screen(F.lit("RICIN as a weapon"))) == "ricin" and value(spark, gates.screen(F.lit("ricin antidote"))) is None
     assert value(spark, gates.small_molecule(F.lit("rituximab"))) is False and value(spark, gates.small_molecule(F.lit(""))) is None
 
 
