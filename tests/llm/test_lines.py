@@ -106,3 +106,26 @@ def test_members_of_a_group_that_its_first_line_does_not_reach(spark, scratch):
         line[rng.randrange(80)] = rng.choice("uvwxyz")
     got = {r.doc_id: r.n_removed for r in lines.fuzzy_lines(spark.createDataFrame(rows + rows[:3] + [(None, "x" * 20, None, None, None, None, 0)], SCHEMA), scratch).collect()}
     assert set(got) == set(range(30)) and sum(got.values()) >= 27 and got[0] == 0
+
+
+def test_pairs_that_share_one_large_bucket_only(spark, scratch, monkeypatch):  # noqa: F811
+    """Every similar pair of a large bucket is found, also if it shares no other bucket."""
+    monkeypatch.setattr(lines, "SMALL", 16)
+    monkeypatch.setattr(lines, "_near", lambda a, _, b, __: 10 * np.abs(a - b) <= np.maximum(a, b))
+    rng = random.Random(13)
+    texts = []
+    for i in range(100):
+        line = [rng.choice("abcdefghijklmnopqrstuvw ") for _ in range(rng.randrange(60, 90))]
+        line[10:30] = "a common part of all"
+        other = list(line)
+        for k in range(31, len(other), 9):
+            other[k] = "z"
+        texts += [" ".join("".join(x).split()) for x in (line, other)]
+    node, row = lines.buckets([x.encode() for x in texts])
+    size = dict(zip(*np.unique(node, return_counts=True)))
+    of = defaultdict(set)
+    for n, r in zip(node.tolist(), row.tolist()):
+        of[r].add(n)
+    alone = [i for i in range(0, len(texts), 2) if texts[i] != texts[i + 1] and similar(texts[i], texts[i + 1]) and len(both := of[i] & of[i + 1]) == 1 and size[next(iter(both))] > 16]
+    got = {r.doc_id for r in lines.fuzzy_lines(spark.createDataFrame([(i, x, None, None, None, None, 0) for i, x in enumerate(texts)], SCHEMA), scratch).filter("n_removed = 1").collect()}
+    assert len(alone) >= 5 and all(i in got or i + 1 in got for i in alone)

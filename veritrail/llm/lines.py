@@ -9,6 +9,8 @@ worth an edit distance.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,7 +28,7 @@ SIMILAR, BITS, SHORT_BITS, SHORT = 90, 18, 24, 100
 #: Blocks of a line, and for lines of so many bytes or more the bytes of a window. Lines near a border have the blocks of both sides.
 BLOCKS = 10
 LEVELS = ((0, 5), (20, 8), (40, 12), (100, 16), (400, 24))
-#: Buckets with more lines are dealt again, by two blocks, then in cells of chunks.
+#: Buckets with more lines are dealt again, by length, then in cells of chunks.
 SMALL = 4096
 #: A batch sends one line on for a bucket with more of its lines, and the others by themselves.
 HOT = 64
@@ -39,7 +41,7 @@ _A, _C = seeds(BLOCKS, 3), seeds(3, 9)
 _rng = np.random.default_rng(7)
 #: The votes of a hashed 4-gram for each bit; every bit has as many votes for as against.
 _VOTES = np.stack([_rng.permutation(np.repeat([1.0, -1.0], _GRAMS // 2)) for _ in range(64)], 1).astype(np.float32)
-#: The marks of buckets of two blocks and of cells, in the low bits where other buckets have their level and block.
+#: The marks of buckets of two bands of lengths and of cells, in the low bits where other buckets have their level and block.
 _MARK = 127
 
 
@@ -448,14 +450,18 @@ def _links(members: DataFrame) -> DataFrame:
 
 
 def _smaller(members: DataFrame, large: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, line): the members of large nodes in nodes of two blocks, and where these are large too, in cells of two chunks each."""
-    one = members.join(large.select("node"), "node").select("node", "line")
-    two = members.select(F.col("node").alias("other"), "line")
+    """(node, line): the members of large nodes in nodes of two neighbouring bands of sizes, and where these are large too, in cells of two chunks each.
+
+    Lines of one node whose lengths allow a link are in one band or in neighbouring ones, so every such pair meets, also if it
+    shares no other node.
+    """
     marked = lambda *c: F.xxhash64(*c).bitwiseOR(F.lit(_MARK))
-    child = scratch.keep(one.join(two, "line").filter("node != other").select(marked("node", "other").alias("node"), "line").distinct(), "children")
+    band = F.floor(F.ln(F.greatest(F.col("size"), F.lit(1)).cast("double")) / -math.log(SIMILAR / 100 - 0.01))  # a little wider than what a link needs
+    one = members.join(large.select("node"), "node").select("node", "line", band.alias("band"))
+    child = scratch.keep(one.withColumn("band", F.explode(F.array("band", F.col("band") + 1))).select(marked("node", "band").alias("node"), "line").distinct(), "children")
     size = child.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     sized = child.join(size, "node")
-    chunks = F.ceil(F.col("n") / (SMALL // 2))
+    chunks = F.ceil(F.col("n") / SMALL)
     cells = (
         sized.filter(F.col("n") > SMALL).withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("line"), F.col("chunks")))
         .withColumn("with", F.explode(F.expr("sequence(0L, chunks - 1)"))).select(marked("node", F.least("own", "with"), F.greatest("own", "with")).alias("node"), "line")
@@ -468,7 +474,7 @@ def removed_lines(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFra
 
     Groups are the connected components of equal normalised lines and of links between different ones: lines that agree in
     one of BLOCKS blocks, whose SimHashes differ in few bits, and that have enough edit similarity. Buckets of more than
-    SMALL lines are dealt again by two blocks, and where those are as large, by cells that hold every pair. The first
+    SMALL lines are dealt again by length, and where those are as large, by cells that hold every pair. The first
     occurrence is that of the smallest (doc_id, line_no).
     """
     seen = scratch.keep(occurrences(docs), "occurrences")
