@@ -6,6 +6,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from veritrail.llm import common, lines
@@ -129,3 +130,34 @@ def test_pairs_that_share_one_large_bucket_only(spark, scratch, monkeypatch):  #
     alone = [i for i in range(0, len(texts), 2) if texts[i] != texts[i + 1] and similar(texts[i], texts[i + 1]) and len(both := of[i] & of[i + 1]) == 1 and size[next(iter(both))] > 16]
     got = {r.doc_id for r in lines.fuzzy_lines(spark.createDataFrame([(i, x, None, None, None, None, 0) for i, x in enumerate(texts)], SCHEMA), scratch).filter("n_removed = 1").collect()}
     assert len(alone) >= 5 and all(i in got or i + 1 in got for i in alone)
+
+
+def test_pairs_that_links_connect_already_are_not_compared(spark, monkeypatch):  # noqa: F811
+    """A group of n like lines takes far fewer comparisons than it has pairs, and is connected whole."""
+    rng = random.Random(14)
+    base = "".join(rng.choice("abcdefgh") for _ in range(100))
+    norm = [(base[: 2 * i] + "x" + base[2 * i + 1 :]).encode() for i in range(40)]
+    runs, compared, plain = [], [], lines.similar_pairs
+    monkeypatch.setattr(lines, "arrow_map", lambda _, run, __: runs.append(run))
+    monkeypatch.setattr(lines, "similar_pairs", lambda a, b: compared.append(len(a)) or plain(a, b))
+    lines._links(spark.createDataFrame([], "node long, line long, size int, simhash long, hidden long, norm binary"))
+    cols = [np.full(40, lines._MARK), np.arange(40), np.full(40, 100), np.zeros(40, np.int64), np.zeros(40, np.int64)]
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(norm, pa.binary())], names=list("abcdef"))
+    links = [(x, y) for out in runs[0]([batch]) for x, y in zip(out["a"], out["b"])]
+    group = groups(range(40), links)
+    assert len({group[i] for i in range(40)}) == 1 and len(links) == 39 and sum(compared) < 40 * 39 / 4
+
+
+def test_few_edits_is_never_too_generous():
+    rng = random.Random(15)
+    hit = 0
+    for _ in range(300):
+        a = "".join(rng.choices("abc", k=rng.randint(1, 40)))
+        k = rng.randint(0, len(a))
+        b = "".join(c if rng.random() < 0.9 else "z" for c in a[:k] + "".join(rng.choices("abc", k=rng.randint(0, 4))) + a[k:])
+        x, y = (np.array(list(map(ord, v)), np.uint32) for v in (a, b))
+        for room in (0, 2, 5):
+            few = lines._few_edits(x, y, room)
+            hit += few
+            assert not few or brute_edit(a, b) <= room
+    assert hit > 100

@@ -186,6 +186,18 @@ def _distances(pairs: list[tuple[np.ndarray, np.ndarray]], room: int) -> np.ndar
     return out
 
 
+def _few_edits(x: np.ndarray, y: np.ndarray, room: int) -> bool:
+    """Whether substitutions and one run of insertions into x, the shorter one, make y with ``room`` edits or fewer: then the distance is no larger."""
+    n, more = len(x), len(y) - len(x)
+    if not n or more > room:
+        return False
+    ahead, behind = np.cumsum(x != y[:n]), np.cumsum((x != y[more:])[::-1])[::-1]  # before the run, and after it
+    best = min(int(ahead[-1]), int(behind[0]))
+    if n > 1:
+        best = min(best, int((ahead[:-1] + behind[1:]).min()))
+    return best + more <= room
+
+
 def similar_pairs(a: list[str], b: list[str]) -> np.ndarray:
     """Which pairs of strings have enough edit similarity. Common ends are cut off; what is left is compared, short cores many at once."""
     out = np.zeros(len(a), bool)
@@ -202,7 +214,7 @@ def similar_pairs(a: list[str], b: list[str]) -> np.ndarray:
             x, y = x[cut:][::-1], y[cut:][::-1]
         if len(x) > len(y):
             x, y = y, x
-        if len(y) <= room:
+        if len(y) <= room or _few_edits(x, y, room):
             out[i] = True
         elif len(x) and len(y) - len(x) <= room:
             wait.append((i, room, x, y))
@@ -410,13 +422,27 @@ def _links(members: DataFrame) -> DataFrame:
             return x
 
         def settle(pool):
-            pool = [p for p in pool if top(p[0]) != top(p[1])]
-            a, b = [], []
-            for k in np.flatnonzero(similar_pairs([p[2] for p in pool], [p[3] for p in pool])).tolist():
-                x, y = top(pool[k][0]), top(pool[k][1])
-                if x != y:
-                    up[max(x, y)] = min(x, y)
-                    a.append(max(pool[k][:2])), b.append(min(pool[k][:2]))
+            """Rounds: each takes few pairs of a group, so most of what these connect is never compared; no pair is left over."""
+            a, b, most = [], [], 1
+            while pool:
+                used: dict[int, int] = {}
+                now, later = [], []
+                for p in pool:
+                    x, y = top(p[0]), top(p[1])
+                    if x == y:
+                        continue
+                    n, m = used.get(x, 0), used.get(y, 0)
+                    if n < most and m < most:
+                        used[x], used[y] = n + 1, m + 1
+                        now.append(p)
+                    else:
+                        later.append(p)
+                for k in np.flatnonzero(similar_pairs([p[2] for p in now], [p[3] for p in now])).tolist():
+                    x, y = top(now[k][0]), top(now[k][1])
+                    if x != y:
+                        up[max(x, y)] = min(x, y)
+                        a.append(max(now[k][:2])), b.append(min(now[k][:2]))
+                pool, most = later, 2 * most
             return {"a": a, "b": b}
 
         pool = []
