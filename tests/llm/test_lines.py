@@ -138,6 +138,7 @@ def test_pairs_that_links_connect_already_are_not_compared(spark, monkeypatch):
     base = "".join(rng.choice("abcdefgh") for _ in range(100))
     norm = [(base[: 2 * i] + "x" + base[2 * i + 1 :]).encode() for i in range(40)]
     runs, compared, plain = [], [], lines.similar_pairs
+    monkeypatch.setattr(lines, "AT_ONCE", 0, raising=False)
     monkeypatch.setattr(lines, "arrow_map", lambda _, run, __: runs.append(run))
     monkeypatch.setattr(lines, "similar_pairs", lambda a, b: compared.append(len(a)) or plain(a, b))
     lines._links(spark.createDataFrame([], "node long, line long, size int, simhash long, hidden long, norm binary"))

@@ -32,6 +32,8 @@ LEVELS = ((0, 5), (20, 8), (40, 12), (100, 16), (400, 24))
 SMALL = 4096
 #: A batch sends one line on for a bucket with more of its lines, and the others by themselves.
 HOT = 64
+#: So many pairs or fewer are compared at once: smaller rounds cost more than the comparisons that they save.
+AT_ONCE = 2048
 #: Bytes of text of one batch.
 BATCH = 1 << 24
 
@@ -432,7 +434,7 @@ def _links(members: DataFrame) -> DataFrame:
                     if x == y:
                         continue
                     n, m = used.get(x, 0), used.get(y, 0)
-                    if n < most and m < most:
+                    if len(pool) <= AT_ONCE or n < most and m < most:
                         used[x], used[y] = n + 1, m + 1
                         now.append(p)
                     else:
