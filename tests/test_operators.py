@@ -6,6 +6,7 @@ import gzip
 import json
 import math
 import os
+import random
 import threading
 import time
 
@@ -160,6 +161,52 @@ def test_kb_and_gates(spark):
     assert value(spark, gates.small_molecule(F.lit("rituximab"))) is False and value(spark, gates.small_molecule(F.lit(""))) is None
 
 
+@pytest.mark.parametrize("width", [64, 300, 9000])  # one word, several words, sparse
+@pytest.mark.parametrize("cut", [1024, 3])
+def test_similar_fingerprints(spark, monkeypatch, width, cut):
+    monkeypatch.setattr(kb, "CUT", cut)
+    monkeypatch.setattr(kb, "AT_ONCE", 50)
+    rng = random.Random(width)
+    sets = {}
+    for i in range(120):
+        base = set(sets[i - 1][1]) if i % 3 else set(rng.sample(range(width), rng.randint(1, 40)))
+        sets[i] = rng.choice("xy") if i % 20 else None, sorted((base ^ set(rng.sample(range(width), rng.randint(0, 12)))) if i % 10 else set())
+    rows = [(7 * i, *v) for i, v in sets.items()] + [(-1, "x", None), (None, "x", [1])]
+    for least in (0.5, 0.8):
+        got = {(r.a, r.b): r.similarity for r in kb.similar(spark.createDataFrame(rows, "id long, group string, bits array<int>"), least).collect()}
+        want = {}
+        for i, (g, x) in sets.items():
+            for j in range(i + 1, 120):
+                h, y = sets[j]
+                if g and g == h and x + y and len({*x} & {*y}) / len({*x, *y}) >= least:
+                    want[7 * i, 7 * j] = len({*x} & {*y}) / len({*x, *y})
+        assert got == want and len(want) > 5
+
+
+def test_similar_fingerprints_of_dense_bits_meet_without_joins_of_pairs(spark):
+    rng = random.Random(3)
+    rows = [(i, 1, sorted(rng.sample(range(64), 32))) for i in range(3000)]
+    got = kb.similar(spark.createDataFrame(rows, "id long, group int, bits array<int>"), 0.5)
+    assert got.count() > 10_000
+    seen = []
+
+    def walk(plan):  # the most rows of any step
+        for k, metric in [(m._1(), m._2()) for m in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(plan.metrics().toSeq())]:
+            if k == "numOutputRows":
+                seen.append(metric.value())
+        for child in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(plan.children()):
+            walk(child)
+        if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            walk(plan.executedPlan())
+        elif plan.getClass().getSimpleName().endswith("QueryStageExec"):
+            walk(plan.plan())
+
+    plan = got._jdf.queryExecution()
+    n = plan.executedPlan().executeCollect().__len__()
+    walk(plan.executedPlan())
+    assert max(seen) <= n + 3000 * 4
+
+
 def test_usable(spark):
     u = lambda *a: value(spark, labels.usable(*[F.lit(x) for x in a]))
     assert u(True, "Phase 3", 100, 12) is None and u(None, "Phase 3", 100, 12) == "not randomised" and u(True, "Phase 1", 100, 12) == "phase 1" and u(True, "Phase 2", 10, 12) == "too small"
