@@ -551,6 +551,44 @@ def test_window_pairs_of_every_size_of_group():
     assert not len(passages._meeting(none.astype(np.uint64), none, none, none, none)["a"])
 
 
+def parts_one_by_one(x, y, lo, hi):
+    """The similar parts of x[lo:hi] and y, by their definition."""
+    there = [9 * (v in set(y)) - 8 for v in x]
+    stretches = [(b + 1 - a, b, a) for a in range(lo, hi) for b in range(a + passages.LEAST - 1, hi) if sum(there[a : b + 1]) >= 0]
+    if not stretches:
+        return []
+    n, b, a = max(stretches)
+    p, out = set(x[a : b + 1]), []
+    for slack in (len(x) + len(y), max(1, n // 10)):
+        at = [i for i, v in enumerate(y) if v in p and a - slack <= i <= b + slack]
+        q = set(y[at[0] : at[-1] + 1]) if at else set()
+        if at and at[-1] - at[0] + 1 >= passages.LEAST and len(p & q) >= 0.8 * len(p | q):
+            out = [(a, b, at[0], at[-1])]
+            break
+    return out + parts_one_by_one(x, y, lo, a) + parts_one_by_one(x, y, b + 1, hi)
+
+
+def test_similar_parts_of_many_pairs_at_once():
+    rng = np.random.default_rng(8)
+    pairs = [(np.arange(5), np.arange(0))]
+    for k in range(40):
+        x = rng.integers(0, 1 << 32, rng.integers(46, 200))
+        y = x.copy()
+        y[rng.random(len(y)) < rng.choice([0, 0.02, 0.1, 0.3])] = 7
+        if k % 4 == 0:
+            y = np.concatenate([y[60:], x[:50], y[:60]])  # parts in another order, and one twice
+        if k % 5 == 0:
+            x = np.concatenate([x[:50], np.full(30, k), x])
+        pairs.append((x, y))
+    row, *ends = passages.similar_parts(*([v.astype("<u4").tobytes() for v in side] for side in zip(*pairs)))
+    got = defaultdict(set)
+    for r, *part in zip(row.tolist(), *(e.tolist() for e in ends)):
+        got[r].add(tuple(part))
+    want = {i: set(parts) for i, (x, y) in enumerate(pairs) if (parts := parts_one_by_one(x.tolist(), y.tolist(), 0, len(x)))}
+    assert got == want and sum(map(len, want.values())) > 20
+    assert not any(len(v) for v in passages.similar_parts([], []))
+
+
 def test_passage_recall_at_the_least_similarity(spark, scratch):
     """Planted passages of 80 words with words replaced, similarity of 0.8 and more by brute force, beside shadowing documents."""
     rng = random.Random(18)
