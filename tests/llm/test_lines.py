@@ -149,6 +149,27 @@ def test_pairs_that_links_connect_already_are_not_compared(spark, monkeypatch):
     assert len({group[i] for i in range(40)}) == 1 and len(links) == 39 and sum(compared) < 40 * 39 / 4
 
 
+def test_pairs_within_their_rooms():
+    """Pairs of all lengths at once, each with a room of its own, also at the room itself and one below it."""
+    rng = random.Random(12)
+    pairs, rooms = [], []
+    for n in (1, 2, 7, 8, 9, 40, 64, 65, 300, 700):
+        for edits in (0, 1, 2, n // 10, n // 3):
+            one = [rng.randrange(4) for _ in range(n)]
+            two = list(one)
+            for _ in range(edits):
+                k = rng.randrange(len(two) + 1)
+                two[k : k + rng.randrange(2)] = [rng.randrange(4)] * rng.randrange(2)
+            one, two = sorted((one, two), key=len)
+            far = lines.edit_distance("".join(map(chr, one)), "".join(map(chr, two)))
+            for room in {max(0, far - 1), far, far + 3, n // 10}:
+                if len(two) - len(one) <= room:
+                    pairs.append((np.array(one, np.int64), np.array(two, np.int64)))
+                    rooms.append((room, far))
+    got = lines._within(pairs, np.array([r for r, _ in rooms]))
+    assert got.tolist() == [far <= room for room, far in rooms] and 20 < got.sum() < len(got) - 10
+
+
 def test_few_edits_is_never_too_generous():
     rng = random.Random(15)
     hit = 0

@@ -34,6 +34,8 @@ SMALL = 4096
 HOT = 64
 #: So many pairs or fewer are compared at once: smaller rounds cost more than the comparisons that they save.
 AT_ONCE = 2048
+#: Diagonals of pairs that are compared at once.
+ROOM = 1 << 17
 #: Bytes of text of one batch.
 BATCH = 1 << 24
 
@@ -141,50 +143,44 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
-def _distances(pairs: list[tuple[np.ndarray, np.ndarray]], room: int) -> np.ndarray:
-    """Levenshtein distances up to ``room`` (else a number above it) of pairs of arrays of codes under 64, the first not longer and not empty.
+def _within(pairs: list[tuple[np.ndarray, np.ndarray]], rooms: np.ndarray) -> np.ndarray:
+    """Which pairs of arrays of codes under 250, the first not longer, have a Levenshtein distance up to their ``rooms``.
 
-    edit_distance for all pairs at once, in words of 64 rows; only words within ``room`` rows of the diagonal are kept up.
+    For all pairs at once and 0, 1, 2, ... edits the place in the first array that each diagonal reaches; a diagonal that
+    the edits left cannot bring to the end is not followed.
     """
+    out = np.zeros(len(pairs), bool)
+    live, width = np.arange(len(pairs)), 2 * int(rooms.max()) + 3
+    middle = width // 2
     m, n = np.array([len(x) for x, _ in pairs]), np.array([len(y) for _, y in pairs])
-    words, every = -(-int(m.max()) // 64), np.arange(len(pairs))
-    text = np.zeros((int(n.max()), len(pairs)), np.uint8)
-    pattern = np.full((len(pairs), 64 * words), 255, np.uint8)
-    for i, (x, y) in enumerate(pairs):
-        pattern[i, : len(x)] = x
-        text[: len(y), i] = y
-    used = np.unique(pattern)
-    where = np.zeros((64, words, len(pairs)), np.uint64)
-    for c in used[used < 64].tolist():
-        where[c] = np.packbits(pattern == c, axis=1, bitorder="little").view(np.uint64).T
-    up, down = np.full((words, len(pairs)), ~np.uint64(0)), np.zeros((words, len(pairs)), np.uint64)
-    one, top = np.uint64(1), np.uint64(63)
-    rows = np.minimum(64, np.maximum(1, m[None] - 64 * np.arange(words)[:, None]))  # of a pair in each word
-    bottom = (rows - 1).astype(np.uint64)
-    score = np.cumsum(rows, axis=0)  # at the last row of each word
-    last = (m - 1) // 64
-    out = m.copy()
-    lowest, highest = 0, min(words, (room + 1) // 64 + 1)
-    for t in range(len(text)):
-        more, less = np.ones(len(pairs), np.uint64), np.zeros(len(pairs), np.uint64)
-        while highest < words and t + room >= 64 * highest:
-            score[highest] = score[highest - 1] + rows[highest]
-            highest += 1
-        while lowest < highest - 1 and t - room >= 64 * (lowest + 1):
-            lowest += 1
-        for w in range(lowest, highest):
-            eq, u, d = where[text[t], w, every], up[w], down[w]
-            vertical = eq | d
-            eq = eq | less
-            diag = (((eq & u) + u) ^ u) | eq
-            plus, minus = d | ~(diag | u), u & diag
-            score[w] += (plus >> bottom[w] & one).astype(np.int64) - (minus >> bottom[w] & one).astype(np.int64)
-            plus_, minus_ = plus << one | more, minus << one | less
-            more, less = plus >> top, minus >> top
-            up[w], down[w] = minus_ | ~(vertical | plus_), plus_ & vertical
-        ends = n == t + 1
-        if ends.any():
-            out[ends] = np.where(last[ends] < highest, score[last[ends], every[ends]], room + 1)
+    flat = [np.frombuffer(b"".join(v.astype(np.uint8).tobytes() + end * 8 for v in side), np.uint8) for side, end in zip(zip(*pairs), (b"\xfe", b"\xff"))]
+    eight = [np.ndarray((len(v) - 7,), "<u8", v.data, 0, (1,)) for v in flat]  # 8 codes from each place; the ends differ
+    starts = [np.cumsum(v + 8) - v - 8 for v in (m, n)]
+    reach = np.full((len(pairs), width), -(1 << 30), np.int64)
+    for edits in range(int(rooms.max()) + 1):
+        lo, hi = middle - edits, middle + edits + 1
+        if edits:
+            new = np.maximum(np.maximum(reach[:, lo:hi] + 1, reach[:, lo - 1 : hi - 1]), reach[:, lo + 1 : hi + 1] + 1)
+            reach[:, lo:hi] = np.minimum(new, np.minimum(m[live][:, None], n[live][:, None] - np.arange(-edits, edits + 1)))
+        else:
+            reach[:, middle] = 0
+        goal = n[live] - m[live]
+        row, col = np.nonzero((reach[:, lo:hi] >= 0) & (np.abs(np.arange(-edits, edits + 1) - goal[:, None]) <= rooms[live][:, None] - edits))
+        col += lo
+        i = reach[row, col]
+        a, b = starts[0][live][row] + i, starts[1][live][row] + i + col - middle
+        todo, more = np.arange(len(row)), np.zeros(len(row), np.int64)
+        while len(todo):
+            differ = eight[0][a[todo] + more[todo]] ^ eight[1][b[todo] + more[todo]]
+            more[todo] += np.where(differ == 0, 8, np.bitwise_count((differ & -differ) - np.uint64(1)) >> 3)
+            todo = todo[differ == 0]
+        reach[row, col] = i + more
+        there = reach[np.arange(len(live)), middle + goal] >= m[live]
+        out[live[there]] = True
+        stay = ~there & (rooms[live] > edits)
+        live, reach = live[stay], reach[stay]
+        if not len(live):
+            break
     return out
 
 
@@ -201,7 +197,7 @@ def _few_edits(x: np.ndarray, y: np.ndarray, room: int) -> bool:
 
 
 def similar_pairs(a: list[str], b: list[str]) -> np.ndarray:
-    """Which pairs of strings have enough edit similarity. Common ends are cut off; what is left is compared, short cores many at once."""
+    """Which pairs of strings have enough edit similarity. Common ends are cut off; what is left is compared, many pairs at once."""
     out = np.zeros(len(a), bool)
     wait: list[tuple[int, int, np.ndarray, np.ndarray]] = []
     for i, (s, t) in enumerate(zip(a, b)):
@@ -220,23 +216,19 @@ def similar_pairs(a: list[str], b: list[str]) -> np.ndarray:
             out[i] = True
         elif len(x) and len(y) - len(x) <= room:
             wait.append((i, room, x, y))
-    wait.sort(key=lambda w: (-(-len(w[2]) // 64), len(w[3])))
+    wait.sort(key=lambda w: w[1])
     at = 0
     while at < len(wait):
-        words = -(-len(wait[at][2]) // 64)
-        end = at
-        while end < min(len(wait), at + 2048) and -(-len(wait[end][2]) // 64) <= words + words // 4:
+        end = at + 1
+        while end < len(wait) and wait[end][1] <= 8 + 2 * wait[at][1] and (end - at) * wait[end][1] < ROOM:
             end += 1
-        part = wait[at:end]
-        at = end
+        part, at = wait[at:end], end
         codes = np.unique(np.concatenate([np.concatenate(w[2:]) for w in part]))
-        if len(part) < 32 or len(codes) > 64 or words > 64:  # too few, or too many codes or words
+        if len(codes) < 250:
+            out[[w[0] for w in part]] = _within([(np.searchsorted(codes, x), np.searchsorted(codes, y)) for _, _, x, y in part], np.array([w[1] for w in part]))
+        else:
             for i, room, x, y in part:
                 out[i] = edit_distance("".join(map(chr, x)), "".join(map(chr, y))) <= room
-        else:
-            far = _distances([(np.searchsorted(codes, x), np.searchsorted(codes, y)) for _, _, x, y in part], max(w[1] for w in part))
-            for (i, room, _, _), d in zip(part, far.tolist()):
-                out[i] = d <= room
     return out
 
 
