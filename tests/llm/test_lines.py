@@ -183,3 +183,38 @@ def test_few_edits_is_never_too_generous():
             hit += few
             assert not few or brute_edit(a, b) <= room
     assert hit > 100
+
+
+def test_long_pairs_of_insertions_take_no_edit_distance(monkeypatch):
+    """A line that another one holds in its order is as far from it as they differ in length: no distance is computed."""
+    line = "a b c d e f g " * 2000
+    more = "".join(c + "xy" * (k % 40 == 0) for k, c in enumerate(line))
+    for name in ("_within", "edit_distance"):
+        monkeypatch.setattr(lines, name, lambda *_: pytest.fail("compared in full"))
+    assert lines.similar_pairs([line, more], [more, line]).tolist() == [True, True]
+
+
+def test_blocks_of_rows_without_a_close_pair_are_not_made(spark, monkeypatch):  # noqa: F811
+    """Rows of one node whose characters differ too much for a link need no blocks; the like pair among them is still linked."""
+    norm = [(c * 60).encode() for c in "abcdefgh"] + [b"z" * 60 + b"y"]
+    norm.append(b"z" * 60 + b"x")
+    runs, made, plain = [], [], lines.blocks
+    monkeypatch.setattr(lines, "arrow_map", lambda _, run, __: runs.append(run))
+    monkeypatch.setattr(lines, "blocks", lambda x, q: made.extend(x) or plain(x, q))
+    lines._links(spark.createDataFrame([], "node long, line long, size int, simhash long, hidden long, norm binary"))
+    node = 1 << 20 | 2 << 4 | int((plain(norm[-2:-1], 12) == plain(norm[-1:], 12)).argmax())
+    cols = [np.full(10, node), np.arange(10), np.array([len(x) for x in norm]), np.zeros(10, np.int64), np.zeros(10, np.int64)]
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(norm, pa.binary())], names=list("abcdef"))
+    links = [(x, y) for out in runs[0]([batch]) for x, y in zip(out["a"], out["b"])]
+    assert links == [(9, 8)] and sorted(made) == sorted(norm[-2:])
+
+
+def test_normal_lines_and_characters_as_in_their_plain_forms():
+    rng = random.Random(16)
+    raws = ["".join(rng.choices("aB9 ,.\t\n\r\x0bé日😀", k=rng.randint(0, 200))).encode() for _ in range(300)] + [b"long enough \xff\xc3 \x80\x80 bytes"]
+    for raw in raws:
+        plain = [(i, b" ".join(x.split())) for i, x in enumerate(raw.translate(lines._FOLD).split(b"\n"))]
+        assert lines.normal_lines(raw) == [(i, x) for i, x in plain if len(x) >= lines.MIN_BYTES]
+    norm = [x for raw in raws for _, x in lines.normal_lines(raw)]
+    text = [x.decode(errors="replace") for x in norm]
+    assert lines._bags(norm, text).tolist() == [np.bincount([ord(c) & 63 for c in x], minlength=64).tolist() for x in text]

@@ -33,9 +33,12 @@ SMALL = 4096
 #: A batch sends one line on for a bucket with more of its lines, and the others by themselves.
 HOT = 64
 #: So many pairs or fewer are compared at once: smaller rounds cost more than the comparisons that they save.
-AT_ONCE = 2048
-#: Diagonals of pairs that are compared at once.
-ROOM = 1 << 17
+AT_ONCE = 4096
+#: Diagonals of pairs that are compared at once; pairs of like rooms go together, fewer than FEW one by one. From the room LONG on a
+#: pair is looked at for simple edits before.
+ROOM, ROOMS, FEW, LONG = 1 << 19, (16, 64, 128, 200), 12, 100
+#: So many pairs are looked at before comparisons begin.
+POOL = 1 << 14
 #: Bytes of text of one batch.
 BATCH = 1 << 24
 
@@ -51,8 +54,10 @@ _MARK = 127
 
 def normal_lines(raw: bytes) -> list[tuple[int, bytes]]:
     """(line number from 0, normalised line) of the lines that are long enough: A-Z to lower case, digits to 0, runs of other ASCII to one space."""
-    lines = ((i, b" ".join(x.split())) for i, x in enumerate(raw.translate(_FOLD).split(b"\n")))
-    return [(i, x) for i, x in lines if len(x) >= MIN_BYTES]
+    raw = raw.translate(_FOLD)
+    while b"  " in raw:  # each time runs are half as long
+        raw = raw.replace(b"  ", b" ")
+    return [(i, y) for i, x in enumerate(raw.split(b"\n")) if len(x) >= MIN_BYTES and len(y := x.strip(b" ")) >= MIN_BYTES]
 
 
 def _pieces(lines: list[bytes]):
@@ -60,7 +65,7 @@ def _pieces(lines: list[bytes]):
     at, held = 0, 0
     for i, x in enumerate(lines):
         held += len(x)
-        if held >= _PIECE or i - at >= 400:
+        if held >= _PIECE or i - at >= 128:
             yield at, i + 1
             at, held = i + 1, 0
     if at < len(lines):
@@ -78,11 +83,11 @@ def simhashes(lines: list[bytes]) -> np.ndarray:
     for lo, hi in _pieces(lines):
         b, starts, lens = _buffer(lines[lo:hi])
         n = int(lens.sum())
-        gram = ((np.ndarray((n,), "<u4", b.data, 0, (1,)) * np.uint32(2654435761)) >> np.uint32(22)).astype(np.int64)
-        whole = np.ones(n, bool)
+        gram = np.repeat(np.arange(hi - lo) * _GRAMS, lens)
+        gram += (np.ndarray((n,), "<u4", b.data, 0, (1,)) * np.uint32(2654435761)) >> np.uint32(22)
         for k in (1, 2, 3):
-            whole[starts + lens - k] = False
-        counts = np.bincount((np.repeat(np.arange(hi - lo), lens) * _GRAMS + gram)[whole], minlength=(hi - lo) * _GRAMS)
+            gram[starts + lens - k] = (hi - lo) * _GRAMS  # beyond the line's end
+        counts = np.bincount(gram, minlength=(hi - lo) * _GRAMS + 1)[:-1]
         out[lo:hi] = np.packbits(counts.astype(np.float32).reshape(-1, _GRAMS) @ _VOTES >= 0, axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
@@ -146,41 +151,56 @@ def edit_distance(a: str, b: str) -> int:
 def _within(pairs: list[tuple[np.ndarray, np.ndarray]], rooms: np.ndarray) -> np.ndarray:
     """Which pairs of arrays of codes under 250, the first not longer, have a Levenshtein distance up to their ``rooms``.
 
-    For all pairs at once and 0, 1, 2, ... edits the place in the first array that each diagonal reaches; a diagonal that
-    the edits left cannot bring to the end is not followed.
+    The dynamic program of all pairs at once, antidiagonal by antidiagonal, on the diagonals that edits within the room can
+    reach. Equal codes before both arrays and behind them change no distance, so pairs of all lengths begin and end together.
     """
     out = np.zeros(len(pairs), bool)
-    live, width = np.arange(len(pairs)), 2 * int(rooms.max()) + 3
-    middle = width // 2
     m, n = np.array([len(x) for x, _ in pairs]), np.array([len(y) for _, y in pairs])
-    flat = [np.frombuffer(b"".join(v.astype(np.uint8).tobytes() + end * 8 for v in side), np.uint8) for side, end in zip(zip(*pairs), (b"\xfe", b"\xff"))]
-    eight = [np.ndarray((len(v) - 7,), "<u8", v.data, 0, (1,)) for v in flat]  # 8 codes from each place; the ends differ
-    starts = [np.cumsum(v + 8) - v - 8 for v in (m, n)]
-    reach = np.full((len(pairs), width), -(1 << 30), np.int64)
-    for edits in range(int(rooms.max()) + 1):
-        lo, hi = middle - edits, middle + edits + 1
-        if edits:
-            new = np.maximum(np.maximum(reach[:, lo:hi] + 1, reach[:, lo - 1 : hi - 1]), reach[:, lo + 1 : hi + 1] + 1)
-            reach[:, lo:hi] = np.minimum(new, np.minimum(m[live][:, None], n[live][:, None] - np.arange(-edits, edits + 1)))
+    live = np.flatnonzero(n - m <= rooms)
+    if not len(live):
+        return out
+    m, n, rooms = m[live], n[live], np.asarray(rooms)[live]
+    below = (rooms - (n - m)) // 2  # so many diagonals before that of the beginning
+    goal = n - m + below
+    half = int((goal + below).max()) // 2 + 1  # even diagonals, and as many odd ones
+    ends = 2 * m + goal
+    last = int(ends.max())
+    top = last // 2
+    kind, cap = (np.uint8, 200) if rooms.max() < 200 else (np.uint16, 60_000) if rooms.max() < 60_000 else (np.int32, 1 << 30)
+    # A column for each pair; the first array stands backwards, so that rows side by side are the cells of an antidiagonal.
+    one, two = (np.full((top + half + 1, len(live)), 251, np.uint8) for _ in "ab")
+    one[top:] = 250
+    two[np.arange(len(two))[:, None] < below] = 250
+    for side, lens in enumerate((m, n)):
+        codes = np.concatenate([pairs[i][side] for i in live]).astype(np.uint8)
+        column = np.repeat(np.arange(len(live)), lens)
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(lens) - lens, lens)
+        if side:
+            two[place + below[column], column] = codes
         else:
-            reach[:, middle] = 0
-        goal = n[live] - m[live]
-        row, col = np.nonzero((reach[:, lo:hi] >= 0) & (np.abs(np.arange(-edits, edits + 1) - goal[:, None]) <= rooms[live][:, None] - edits))
-        col += lo
-        i = reach[row, col]
-        a, b = starts[0][live][row] + i, starts[1][live][row] + i + col - middle
-        todo, more = np.arange(len(row)), np.zeros(len(row), np.int64)
-        while len(todo):
-            differ = eight[0][a[todo] + more[todo]] ^ eight[1][b[todo] + more[todo]]
-            more[todo] += np.where(differ == 0, 8, np.bitwise_count((differ & -differ) - np.uint64(1)) >> 3)
-            todo = todo[differ == 0]
-        reach[row, col] = i + more
-        there = reach[np.arange(len(live)), middle + goal] >= m[live]
-        out[live[there]] = True
-        stay = ~there & (rooms[live] > edits)
-        live, reach = live[stay], reach[stay]
-        if not len(live):
-            break
+            one[top - 1 - place, column] = codes
+    cells = np.abs(np.arange(-1, 2 * half + 1)[:, None] - below).astype(kind)
+    odd, even = cells[::2].copy(), cells[1::2].copy()  # a row before the odd ones and one behind the even ones are out of reach
+    odd[0] = even[-1] = cap
+    for step in range(1, last + 1):
+        at, to = top - step // 2, (step + 1) // 2 - 1
+        mine, other = (odd[1:], even) if step & 1 else (even[:-1], odd)
+        mine += one[at : at + half] != two[to : to + half]
+        near = np.minimum(other[:-1], other[1:])
+        near += 1
+        np.minimum(mine, near, out=mine)
+        if step % 32 == 0 or step == last:
+            np.minimum(odd, cap, out=odd)
+            np.minimum(even, cap, out=even)
+            done = ends <= step
+            got = np.where(goal & 1, odd[(goal + 1) // 2, np.arange(len(live))], even[goal // 2, np.arange(len(live))])
+            out[live[done & (got <= rooms)]] = True
+            stay = ~done & (np.minimum(odd.min(0), even.min(0)) <= rooms)
+            if not stay.any():
+                break
+            if 4 * stay.sum() < 3 * len(stay):
+                live, rooms, goal, ends = live[stay], rooms[stay], goal[stay], ends[stay]
+                one, two, odd, even = (np.ascontiguousarray(x[:, stay]) for x in (one, two, odd, even))
     return out
 
 
@@ -196,6 +216,15 @@ def _few_edits(x: np.ndarray, y: np.ndarray, room: int) -> bool:
     return best + more <= room
 
 
+def _held(x: str, y: str) -> bool:
+    """Whether y holds the characters of x in their order: then the distance is the difference of the lengths."""
+    at = -1
+    for c in x:
+        if (at := y.find(c, at + 1)) < 0:
+            return False
+    return True
+
+
 def similar_pairs(a: list[str], b: list[str]) -> np.ndarray:
     """Which pairs of strings have enough edit similarity. Common ends are cut off; what is left is compared, many pairs at once."""
     out = np.zeros(len(a), bool)
@@ -205,27 +234,37 @@ def similar_pairs(a: list[str], b: list[str]) -> np.ndarray:
         if abs(len(s) - len(t)) > room:
             continue
         x, y = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4"), np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")
-        for _ in range(2):  # the common beginning, then the common end
-            k = min(len(x), len(y))
-            differ = x[:k] != y[:k]
-            cut = int(differ.argmax()) if differ.any() else k
-            x, y = x[cut:][::-1], y[cut:][::-1]
         if len(x) > len(y):
             x, y = y, x
-        if len(y) <= room or _few_edits(x, y, room):
+        for _ in range(2):  # the common beginning, then the common end
+            differ = x != y[: len(x)]
+            cut = int(differ.argmax()) if len(x) else 0
+            cut = cut if cut or len(x) and differ[0] else len(x)
+            x, y = x[cut:][::-1], y[cut:][::-1]
+        if len(y) <= room or room >= LONG and (_few_edits(x, y, room) or _held(*sorted((s, t), key=len))):
             out[i] = True
-        elif len(x) and len(y) - len(x) <= room:
+        elif len(x):
             wait.append((i, room, x, y))
-    wait.sort(key=lambda w: w[1])
+    tier = lambda w: sum(w[1] >= r for r in ROOMS)
+    wait.sort(key=lambda w: (tier(w), len(w[3])))
     at = 0
     while at < len(wait):
         end = at + 1
-        while end < len(wait) and wait[end][1] <= 8 + 2 * wait[at][1] and (end - at) * wait[end][1] < ROOM:
+        while end < len(wait) and tier(wait[end]) == tier(wait[at]) and (end - at) * wait[end][1] < ROOM:
             end += 1
         part, at = wait[at:end], end
-        codes = np.unique(np.concatenate([np.concatenate(w[2:]) for w in part]))
-        if len(codes) < 250:
-            out[[w[0] for w in part]] = _within([(np.searchsorted(codes, x), np.searchsorted(codes, y)) for _, _, x, y in part], np.array([w[1] for w in part]))
+        if len(part) < FEW:
+            for i, room, x, y in part:
+                out[i] = edit_distance("".join(map(chr, x)), "".join(map(chr, y))) <= room
+            continue
+        lens = [len(v) for w in part for v in w[2:]]
+        flat = np.concatenate([v for w in part for v in w[2:]])
+        used = np.zeros(int(flat.max()) + 1, bool)
+        used[flat] = True
+        if used.sum() < 250:
+            flat = (np.cumsum(used) - 1).astype(np.uint8)[flat]
+            codes = np.split(flat, np.cumsum(lens[:-1]))
+            out[[w[0] for w in part]] = _within(list(zip(codes[::2], codes[1::2])), np.array([w[1] for w in part]))
         else:
             for i, room, x, y in part:
                 out[i] = edit_distance("".join(map(chr, x)), "".join(map(chr, y))) <= room
@@ -245,12 +284,12 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            row, no, ids, size = [], [], [], []
-            for r, raw in enumerate(batch.column(1).to_pylist()):
-                for i, x in normal_lines(raw):
-                    row.append(r), no.append(i), ids.append(_line_id(x)), size.append(len(x))
-            if row:
-                yield {"doc_id": batch.column(0).take(pa.array(row)), "line_no": no, "line": np.array(ids, np.uint64).view(np.int64), "n_bytes": size}
+            found = [normal_lines(raw) for raw in batch.column(1).to_pylist()]
+            if flat := [x for doc in found for x in doc]:
+                no, text = zip(*flat)
+                ids = np.fromiter(map(_line_id, text), np.uint64, len(text)).view(np.int64)
+                row = np.repeat(np.arange(len(found)), [len(doc) for doc in found])
+                yield {"doc_id": batch.column(0).take(pa.array(row)), "line_no": no, "line": ids, "n_bytes": list(map(len, text))}
 
     return arrow_map(_texts(docs), run, "doc_id long, line_no int, line long, n_bytes int")
 
@@ -260,19 +299,20 @@ _MEMBER = "node long, line long, size int, simhash long"
 
 def _batch_buckets(texts: list[bytes], n_ranges: int) -> dict:
     """A batch's members packed by range of buckets (part, data); of buckets with more than HOT lines the first is packed, and all are rows of _MEMBER."""
-    lines = list({x for raw in texts for _, x in normal_lines(raw)})
+    known = {_line_id(x): x for raw in texts for _, x in normal_lines(raw)}
+    ids = np.sort(np.fromiter(known, np.uint64, len(known)))
+    lines = [known[i] for i in ids.tolist()]
     node, row = buckets(lines)
-    ids = np.array([_line_id(x) for x in lines], np.uint64)
     size = np.array([len(x) if x.isascii() else len(x.decode(errors="replace")) for x in lines], np.int64)
     sim = simhashes(lines)
-    order = np.lexsort((ids[row], node))
+    order = np.argsort(node, kind="stable")  # lines of one node stay in the order of their ids
     node, row = node[order], row[order]
     head = np.concatenate([[True], node[1:] != node[:-1]]) if len(node) else np.zeros(0, bool)
     hot = (np.bincount(np.cumsum(head) - 1) > HOT)[np.cumsum(head) - 1] if len(node) else head
     hot_node, hot_row = node[hot], row[hot]
     go = head | ~hot
     node, row, hot = node[go], row[go], hot[go]
-    part = (node >> np.uint64(7)) % np.uint64(n_ranges)
+    part = ((node >> np.uint64(7)) % np.uint64(n_ranges)).astype(np.uint16 if n_ranges < 1 << 16 else np.int64)
     order = np.argsort(part, kind="stable")
     node, row, hot, part = node[order], row[order], hot[order], part[order]
     cuts = np.flatnonzero(np.diff(part)) + 1
@@ -384,11 +424,11 @@ def _line_texts(live: DataFrame, lines: DataFrame, docs: DataFrame, scratch: Scr
         for batch in batches:
             line, text = [], []
             for raw, numbers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                take = set(numbers)
-                for i, x in normal_lines(raw):
-                    if i in take:
-                        line.append(_line_id(x))
-                        text.append(x)
+                whole = raw.translate(_FOLD).split(b"\n")
+                for i in numbers:
+                    if i < len(whole):
+                        text.append(b" ".join(whole[i].split()))
+                        line.append(_line_id(text[-1]))
             yield {"line": np.array(line, np.uint64).view(np.int64), "norm": text}
 
     ids = live.select("line").distinct()  # rows that share a doc_id may hold other lines at these numbers
@@ -399,6 +439,44 @@ def _line_texts(live: DataFrame, lines: DataFrame, docs: DataFrame, scratch: Scr
 BROADCAST_NUMBERS = 4_000_000
 
 
+def _bags(norm: list[bytes], text: list[str]) -> np.ndarray:
+    """How often each line has the characters of each remainder by 64, which the last byte of a character tells."""
+    out = np.zeros((len(norm), 64), np.int32)
+    for lo, hi in _pieces(norm):
+        b, _, lens = _buffer(norm[lo:hi])
+        last = b[1 : lens.sum() + 1] & 0xC0 != 0x80
+        out[lo:hi] = np.bincount((np.repeat(np.arange(hi - lo) * 64, lens) + (b[: lens.sum()] & 63))[last], minlength=(hi - lo) * 64).reshape(-1, 64)
+    for i, x in enumerate(text):
+        if "\ufffd" in x:  # perhaps bytes that are no character
+            out[i] = np.bincount(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4") & 63, minlength=64)
+    return out
+
+
+def _close(node, line, size, sim, bags):
+    """(i, j) of the pairs of rows of one node that length, SimHash and characters allow, some at a time."""
+    for i, j in _steps(node):
+        near = _near(size[i], sim[i], size[j], sim[j]) & (line[i] != line[j])
+        i, j = i[near], j[near]
+        more = bags[i] - bags[j]  # letters that only one of the lines has need an edit each
+        apart = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
+        fit = 100 * apart <= (100 - SIMILAR) * np.maximum(size[i], size[j])
+        yield i[fit], j[fit]
+
+
+def _many(pairs):
+    """The pairs of arrays, so many together that POOL or more are in each but the last."""
+    held, n = [], 0
+    for i, j in pairs:
+        if len(i):
+            held.append((i, j))
+            n += len(i)
+        if n >= POOL:
+            yield [np.concatenate(x) for x in zip(*held)]
+            held, n = [], 0
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
 def _links(members: DataFrame) -> DataFrame:
     """Links (a, b) within nodes, as few as connect what is similar. ``members``: node, line, size, simhash, hidden, norm.
 
@@ -436,33 +514,33 @@ def _links(members: DataFrame) -> DataFrame:
                     if x != y:
                         up[max(x, y)] = min(x, y)
                         a.append(max(now[k][:2])), b.append(min(now[k][:2]))
-                pool, most = later, 2 * most
+                pool, most = later, 4 * most
             return {"a": a, "b": b}
 
         pool = []
         for node, line, size, sim, hidden, norm in _whole_nodes(batches, 6):
             mark, sim = node & 127, sim.view(np.uint64)  # bits are counted of what has no sign
-            own = np.zeros((len(node), BLOCKS), np.uint64)
-            for level, (_, q) in enumerate(LEVELS):
-                here = np.flatnonzero((mark >> 4 == level) & (mark != _MARK))
-                if len(here):
-                    own[here] = blocks([norm[i] for i in here], q)
             text = [x.decode(errors="replace") for x in norm]
-            bags = np.stack([np.bincount(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4") & 63, minlength=64) for x in text]).astype(np.int32)
-            for i, j in _steps(node):
-                near = _near(size[i], sim[i], size[j], sim[j]) & (line[i] != line[j])
-                i, j = i[near], j[near]
-                if not len(i):
-                    continue
+            bags = _bags(norm, text)
+            own, known = np.zeros((len(node), BLOCKS), np.uint64), mark == _MARK
+            for i, j in _many(_close(node, line, size, sim, bags)):
+                new = np.zeros(len(node), bool)
+                new[i] = new[j] = True
+                new &= ~known
+                known |= new
+                for level, (_, q) in enumerate(LEVELS):
+                    here = np.flatnonzero(new & (mark >> 4 == level))
+                    if len(here):
+                        own[here] = blocks([norm[x] for x in here], q)
                 shown = ~(hidden[i] | hidden[j])[:, None] >> (BLOCKS * (mark[i] >> 4)[:, None] + np.arange(BLOCKS)) & 1
                 first = ((own[i] == own[j]) & shown.astype(bool)).argmax(1)
-                more = bags[i] - bags[j]  # letters that only one of the lines has need an edit each
-                apart = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
-                fit = ((mark[i] == _MARK) | (first == (mark[i] & 15))) & (100 * apart <= (100 - SIMILAR) * np.maximum(size[i], size[j]))
-                pool += [(int(line[p]), int(line[q]), text[p], text[q]) for p, q in zip(i[fit].tolist(), j[fit].tolist())]
-                if len(pool) >= 1 << 14:
-                    yield settle(pool)
-                    pool = []
+                fit = (mark[i] == _MARK) | (first == (mark[i] & 15))
+                i, j = i[fit].tolist(), j[fit].tolist()
+                for at in range(0, len(i), POOL):
+                    pool += [(int(line[x]), int(line[y]), text[x], text[y]) for x, y in zip(i[at : at + POOL], j[at : at + POOL])]
+                    if len(pool) >= POOL:
+                        yield settle(pool)
+                        pool = []
         yield settle(pool)
 
     cols = members.select("node", "line", "size", "simhash", "hidden", "norm")
@@ -515,7 +593,8 @@ def removed_lines(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFra
     texts = _line_texts(members, lines, docs, scratch)
     links = scratch.keep(_links(members.join(texts, "line")), "links")
     comps = scratch.keep(components(links, scratch), "components")
-    grouped = lines.join(comps.withColumnRenamed("node", "line"), "line", "left").withColumn("g", F.coalesce("component", "line"))
+    more = lines.join(comps.withColumnRenamed("node", "line"), "line", "left").filter("n > 1 or component is not null")  # others are alone
+    grouped = scratch.keep(more.withColumn("g", F.coalesce("component", "line")).drop("component"), "grouped")
     several = grouped.groupBy("g").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.sum("n").alias("total")).filter("total > 1")
     member = grouped.select("line", "g").join(several, "g").select("line", "first")
     removed = seen.join(member, "line").filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("line_no") != F.col("first.line_no"))).select("doc_id", "line_no")
