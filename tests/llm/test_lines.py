@@ -218,3 +218,72 @@ def test_normal_lines_and_characters_as_in_their_plain_forms():
     norm = [x for raw in raws for _, x in lines.normal_lines(raw)]
     text = [x.decode(errors="replace") for x in norm]
     assert lines._bags(norm, text).tolist() == [np.bincount([ord(c) & 63 for c in x], minlength=64).tolist() for x in text]
+
+
+def _links_of(spark, monkeypatch, norm, sizes, node=None):
+    """The links of lines that share one node, by the function that runs in tasks."""
+    runs, n = [], len(norm)
+    monkeypatch.setattr(lines, "arrow_map", lambda _, run, __: runs.append(run))
+    lines._links(spark.createDataFrame([], "node long, line long, size int, simhash long, hidden long, norm binary"))
+    cols = [np.full(n, lines._MARK if node is None else node), np.arange(n), np.array(sizes), np.zeros(n, np.int64), np.zeros(n, np.int64)]
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(norm, pa.binary())], names=list("abcdef"))
+    return [(x, y) for out in runs[0]([batch]) for x, y in zip(out["a"], out["b"])]
+
+
+def test_pairs_of_one_node_whose_lengths_differ_too_much_are_passed_over(spark, monkeypatch):  # noqa: F811
+    """A common window in lines of all lengths: their pairs are not looked at one by one, and like lines are linked as before."""
+    norm = sorted([("common part " + c * n).encode() for n in range(20, 420, 4) for c in "ab"], key=len)
+    seen, plain = [], lines._near
+    monkeypatch.setattr(lines, "_near", lambda *x: seen.append(len(x[0])) or plain(*x))
+    links = _links_of(spark, monkeypatch, norm, [len(x) for x in norm])
+    group = groups(range(len(norm)), links)
+    brute = groups(range(len(norm)), [(i, j) for j in range(len(norm)) for i in range(j) if lines.similar_pairs([norm[i].decode()], [norm[j].decode()])[0]])
+    assert group == brute and sum(seen) < len(norm) ** 2 / 8
+
+
+def test_lines_with_the_same_characters_in_another_order_take_no_edit_distance(spark, monkeypatch):  # noqa: F811
+    rng = random.Random(17)
+    base = list("abcdefghijklmnopqrstuvwxyz" * 4)
+    norm = ["".join(rng.sample(base, len(base))).encode() for _ in range(30)]
+    norm.append(norm[-1][:-1] + b"!")
+    compared, plain = [], lines.similar_pairs
+    monkeypatch.setattr(lines, "similar_pairs", lambda a, b: compared.append(len(a)) or plain(a, b))
+    assert _links_of(spark, monkeypatch, norm, [len(x) for x in norm]) == [(30, 29)] and sum(compared) == 1
+
+
+def test_gram_bound_is_never_above_the_distance():
+    rng = random.Random(18)
+    for _ in range(300):
+        a = "".join(rng.choices("abé日😀 ", k=rng.randint(1, 60)))
+        b = list(a)
+        for _ in range(rng.randint(0, 8)):
+            k = rng.randint(0, len(b))
+            b[k : k + rng.randrange(2)] = rng.choices("abé日😀 ", k=rng.randrange(2))
+        b = "".join(b)
+        assert lines._apart(lines._grams([a, b]), np.array([0]), np.array([1]))[0] <= lines.GRAM * brute_edit(a, b)
+
+
+def test_neighbours_in_large_nodes_connect_what_later_pairs_skip(spark, monkeypatch):  # noqa: F811
+    """In a large node that is no pair's first one, like lines are still connected, and most of their pairs are passed over."""
+    rng = random.Random(19)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(200)).replace("  ", "a ")
+    norm = [(base[:k] + "x" + base[k + 1 :]).encode() for k in range(5, 195)]
+    looked, plain = [], lines._apart
+    monkeypatch.setattr(lines, "_apart", lambda b, i, j: looked.append(len(i)) or plain(b, i, j))
+    for name, value in (("LARGE", 100), ("POOL", 64), ("LOOKED", 64)):
+        monkeypatch.setattr(lines, name, value)
+    links = _links_of(spark, monkeypatch, norm, [200] * 190, node=3 << 4 | 15)  # no line has a 16th block
+    assert len({*groups(range(190), links).values()}) == 1 and sum(looked) < 190 * 189 / 4
+
+
+def test_rows_of_hot_buckets_leave_once_however_many_batches_send_them(monkeypatch):
+    runs = []
+    monkeypatch.setattr(lines, "arrow_map", lambda _, run, __: runs.append(run))
+    monkeypatch.setattr(lines, "dealt", lambda rows: rows)
+    monkeypatch.setattr(lines, "_texts", lambda docs: docs)
+    lines._members(type("Docs", (), {"select": lambda *_: None})(), 1)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([0] * 100), pa.array([None] * 100, pa.binary()), *(pa.array(np.arange(100) % 10) for _ in range(4))], names=list("abcdef")
+    )
+    got = [x for out in runs[1]([batch] * 5) for x in out["line"].tolist()]
+    assert sorted(got) == list(range(10))

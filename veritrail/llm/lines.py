@@ -39,6 +39,13 @@ AT_ONCE = 4096
 ROOM, ROOMS, FEW, LONG = 1 << 19, (16, 64, 128, 200), 12, 100
 #: So many pairs are looked at before comparisons begin.
 POOL = 1 << 14
+#: In nodes with more rows the NEXT neighbours of a row are compared in any case, and others if the node is the pair's first one. Links
+#: are settled when so many pairs were looked at, as most of what is left of a large group is connected then.
+LARGE, NEXT, LOOKED = 1024, 4, 1 << 17
+#: Characters of a gram, and bins of grams.
+GRAM, BINS = 3, 1024
+#: So many rows of hot buckets are held back to leave out repeated ones.
+HELD = 1 << 18
 #: Bytes of text of one batch.
 BATCH = 1 << 24
 
@@ -334,14 +341,16 @@ def _near(size_a, sim_a, size_b, sim_b) -> np.ndarray:
     return (np.bitwise_count(sim_a ^ sim_b) <= np.where(longer < SHORT, SHORT_BITS, BITS)) & (100 * np.abs(size_a - size_b) <= (100 - SIMILAR) * longer)
 
 
-def _steps(node: np.ndarray):
-    """(i, i + step) for all pairs of rows of one node; rows are sorted by node. Nearest rows come first."""
+def _steps(node: np.ndarray, size: np.ndarray):
+    """(i, i + step) for the pairs of rows of one node whose lengths allow a link; rows are sorted by node and size. Nearest rows come first."""
+    if not len(node):
+        return
+    size = size.astype(np.int64)
+    span = int(size.max()) + 1
+    start = np.cumsum(np.concatenate([[False], node[1:] != node[:-1]])) * span
+    end = np.searchsorted(start + size, start + np.minimum(100 * size // SIMILAR, span - 1), side="right")
     at, step = np.arange(len(node)), 1
-    while True:
-        at = at[at + step < len(node)]
-        at = at[node[at] == node[at + step]]
-        if not len(at):
-            return
+    while len(at := at[at + step < end[at]]):
         yield at, at + step
         step += 1
 
@@ -373,17 +382,33 @@ def _members(docs: DataFrame, n_ranges: int) -> DataFrame:
         whole = ((np.bincount(group, hot) > 0) | (n > SMALL))[group]  # judged with what other batches have of it
         good = whole.copy()
         rest = np.flatnonzero(~whole & (n > 1)[group])
-        for i, j in _steps(node[rest]):
+        rest = rest[np.lexsort((size[rest], group[rest]))]
+        for i, j in _steps(group[rest], size[rest]):
             i, j = rest[i], rest[j]
             near = _near(size[i], sim[i], size[j], sim[j])
             good[i[near]] = good[j[near]] = True
         return {"node": node[good].view(np.int64), "line": line[good].view(np.int64), "size": size[good], "simhash": sim[good].view(np.int64)}
 
+    def once(own):
+        """Rows of hot buckets, each once: batches send them without knowing of each other."""
+        cols = [np.concatenate(x) for x in zip(*own)]
+        order = np.lexsort((cols[1], cols[0]))
+        cols = [x[order] for x in cols]
+        new = np.concatenate([[True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])])
+        return [x[new] for x in cols]
+
     def meet(batches):
-        now, held = None, []
+        now, held, own = None, [], []
+        names = [c.split()[0] for c in _MEMBER.split(", ")]
         for batch in batches:
-            given = pa.array([not x.is_valid for x in batch.column(1)])
-            yield {c.split()[0]: batch.column(2 + i).filter(given) for i, c in enumerate(_MEMBER.split(", "))}
+            hot = batch.column(1).is_null()
+            if hot.true_count:
+                own.append([batch.column(2 + i).filter(hot).to_numpy(zero_copy_only=False) for i in range(4)])
+                if sum(len(x[0]) for x in own) >= HELD:  # those of one line come one after another
+                    own = [once(own)]
+                    if 2 * len(own[0][0]) >= HELD:
+                        yield dict(zip(names, own[0]))
+                        own = []
             for part, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if part != now:
                     if held:
@@ -395,6 +420,8 @@ def _members(docs: DataFrame, n_ranges: int) -> DataFrame:
                     held.append((node, unpack(line, 8), unpack(size, 4).astype(np.int64), unpack(sim, 8), np.unpackbits(np.frombuffer(hot, np.uint8), count=len(node)).astype(bool)))
         if held:
             yield settle(held)
+        if own:
+            yield dict(zip(names, once(own)))
 
     return arrow_map(dealt(arrow_map(_texts(docs).select("raw"), run, "part int, data binary, " + _MEMBER)), meet, _MEMBER)
 
@@ -452,15 +479,39 @@ def _bags(norm: list[bytes], text: list[str]) -> np.ndarray:
     return out
 
 
-def _close(node, line, size, sim, bags):
-    """(i, j) of the pairs of rows of one node that length, SimHash and characters allow, some at a time."""
-    for i, j in _steps(node):
+def _grams(text: list[str]) -> np.ndarray:
+    """How often each line has grams of GRAM characters, in BINS bins; 255 stands for more."""
+    out = np.zeros((len(text), BINS), np.uint8)
+    for lo, hi in _pieces(text):
+        codes = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4") for x in text[lo:hi]]
+        lens = np.array([len(x) for x in codes])
+        flat = np.concatenate([*codes, np.zeros(GRAM - 1, "<u4")])
+        n = len(flat) - GRAM + 1
+        gram = np.zeros(n, np.uint32)
+        for k in range(GRAM):
+            gram = (gram ^ flat[k : n + k]) * np.uint32(2654435761)
+        place = np.repeat(np.arange(hi - lo) * BINS, lens) + (gram >> np.uint32(22))
+        fit = np.arange(n) + GRAM <= np.repeat(np.cumsum(lens), lens)  # not beyond the line's end
+        out[lo:hi] = np.minimum(np.bincount(place[fit], minlength=(hi - lo) * BINS), 255).reshape(-1, BINS)
+    return out
+
+
+def _apart(bags: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The greater of what row i of counts has more than row j, and row j more than row i."""
+    out = np.empty(len(i), np.int64)
+    total = bags.sum(1, dtype=np.int64)
+    for at in range(0, len(i), 1 << 11):
+        a, b = i[at : at + (1 << 11)], j[at : at + (1 << 11)]
+        x, y = bags[a], bags[b]
+        out[at : at + (1 << 11)] = ((np.maximum(x, y) - np.minimum(x, y)).sum(1, dtype=np.int32) + np.abs(total[a] - total[b])) // 2
+    return out
+
+
+def _close(node, line, size, sim):
+    """(i, j) of the pairs of rows of one node that length and SimHash allow, some at a time."""
+    for i, j in _steps(node, size):
         near = _near(size[i], sim[i], size[j], sim[j]) & (line[i] != line[j])
-        i, j = i[near], j[near]
-        more = bags[i] - bags[j]  # letters that only one of the lines has need an edit each
-        apart = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
-        fit = 100 * apart <= (100 - SIMILAR) * np.maximum(size[i], size[j])
-        yield i[fit], j[fit]
+        yield i[near], j[near]
 
 
 def _many(pairs):
@@ -480,8 +531,10 @@ def _many(pairs):
 def _links(members: DataFrame) -> DataFrame:
     """Links (a, b) within nodes, as few as connect what is similar. ``members``: node, line, size, simhash, hidden, norm.
 
-    A pair that shares several nodes is compared in that of its first block only; ``hidden`` has a bit for each level and
-    block of a line whose node is too large to be compared as it is. A task compares no pair that its links connect already.
+    A pair that shares several nodes is compared in that of its first block only, but for neighbours in large nodes; ``hidden``
+    has a bit for each level and block of a line whose node is too large to be compared as it is. A task compares no pair that
+    its links connect already: in a node with many like lines most pairs are passed over before anything is computed for them.
+    Two bounds spare edit distances: an edit moves one character, and at most GRAM grams of either line.
     """
 
     def run(batches):
@@ -517,16 +570,30 @@ def _links(members: DataFrame) -> DataFrame:
                 pool, most = later, 4 * most
             return {"a": a, "b": b}
 
-        pool = []
+        def tops(ids: list[int]) -> np.ndarray:
+            return np.fromiter(map(top, ids), np.int64, len(ids))
+
+        pool, looked = [], 0
         for node, line, size, sim, hidden, norm in _whole_nodes(batches, 6):
             mark, sim = node & 127, sim.view(np.uint64)  # bits are counted of what has no sign
             text = [x.decode(errors="replace") for x in norm]
-            bags = _bags(norm, text)
-            own, known = np.zeros((len(node), BLOCKS), np.uint64), mark == _MARK
-            for i, j in _many(_close(node, line, size, sim, bags)):
+            bags = np.minimum(_bags(norm, text), 32_767).astype(np.int16)
+            own, known = np.zeros((len(node), BLOCKS), np.uint64), np.zeros(len(node), bool)
+            grams, counted = None, known.copy()
+            head = np.concatenate([[True], node[1:] != node[:-1]])
+            cell, large = mark == _MARK, (np.bincount(np.cumsum(head) - 1) > LARGE)[np.cumsum(head) - 1]
+            ids = line.tolist()
+            group = tops(ids)
+            for i, j in _many(_close(node, line, size, sim)):
+                fit = group[i] != group[j]
+                i, j = i[fit], j[fit]
+                looked += len(i)
+                room = (100 - SIMILAR) * np.maximum(size[i], size[j]) // 100
+                fit = _apart(bags, i, j) <= room  # letters that only one of the lines has need an edit each
+                i, j, room = i[fit], j[fit], room[fit]
                 new = np.zeros(len(node), bool)
                 new[i] = new[j] = True
-                new &= ~known
+                new &= ~known & ~cell
                 known |= new
                 for level, (_, q) in enumerate(LEVELS):
                     here = np.flatnonzero(new & (mark >> 4 == level))
@@ -534,13 +601,22 @@ def _links(members: DataFrame) -> DataFrame:
                         own[here] = blocks([norm[x] for x in here], q)
                 shown = ~(hidden[i] | hidden[j])[:, None] >> (BLOCKS * (mark[i] >> 4)[:, None] + np.arange(BLOCKS)) & 1
                 first = ((own[i] == own[j]) & shown.astype(bool)).argmax(1)
-                fit = (mark[i] == _MARK) | (first == (mark[i] & 15))
-                i, j = i[fit].tolist(), j[fit].tolist()
-                for at in range(0, len(i), POOL):
-                    pool += [(int(line[x]), int(line[y]), text[x], text[y]) for x, y in zip(i[at : at + POOL], j[at : at + POOL])]
-                    if len(pool) >= POOL:
-                        yield settle(pool)
-                        pool = []
+                fit = cell[i] | large[i] & (j - i <= NEXT) | (first == (mark[i] & 15))
+                i, j, room = i[fit], j[fit], room[fit]
+                if len(i):
+                    grams = np.zeros((len(node), BINS), np.uint8) if grams is None else grams
+                    new = np.zeros(len(node), bool)
+                    new[i] = new[j] = True
+                    here = np.flatnonzero(new & ~counted)
+                    counted |= new
+                    if len(here):
+                        grams[here] = _grams([text[x] for x in here])
+                    fit = _apart(grams, i, j) <= GRAM * room
+                    i, j = i[fit], j[fit]
+                pool += [(ids[x], ids[y], text[x], text[y]) for x, y in zip(i.tolist(), j.tolist())]
+                if len(pool) >= POOL or pool and looked >= LOOKED:
+                    yield settle(pool)
+                    pool, looked, group = [], 0, tops(ids)
         yield settle(pool)
 
     cols = members.select("node", "line", "size", "simhash", "hidden", "norm")
