@@ -499,11 +499,11 @@ def _grams(text: list[str]) -> np.ndarray:
 def _apart(bags: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The greater of what row i of counts has more than row j, and row j more than row i."""
     out = np.empty(len(i), np.int64)
-    total = bags.sum(1, dtype=np.int64)
-    for at in range(0, len(i), 1 << 11):
-        a, b = i[at : at + (1 << 11)], j[at : at + (1 << 11)]
-        x, y = bags[a], bags[b]
-        out[at : at + (1 << 11)] = ((np.maximum(x, y) - np.minimum(x, y)).sum(1, dtype=np.int32) + np.abs(total[a] - total[b])) // 2
+    step = (1 << 18) // bags.shape[1]  # what is added up stays near the processor
+    for at in range(0, len(i), step):
+        x, y = bags[i[at : at + step]], bags[j[at : at + step]]
+        more = np.maximum(x, y).sum(1, dtype=np.int32)
+        out[at : at + step] = more - np.minimum(x.sum(1, dtype=np.int32), y.sum(1, dtype=np.int32))
     return out
 
 
